@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_code
-from . import bpe, minhash, packing, sharding, suffix_dedup, warc
-from .common import table
+from . import bpe, minhash, packing, sharding, suffix_dedup, toxicity, warc
+from .common import crc_of_id, table
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.spans(table(spark, sf_dir, "documents")).select("doc_id", "first_word", "n_words", "later")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
+    return toxicity.score(docs, model).select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op5_minhash, op6_packing, op8_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_toxicity, op5_minhash, op6_packing, op8_warc, op10_sharding)}
 
 
 def queries() -> dict:

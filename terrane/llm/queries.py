@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_code
-from . import bpe, minhash, packing, sharding, suffix_dedup, toxicity, warc
+from . import bpe, lm, minhash, packing, sharding, suffix_dedup, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -39,6 +39,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = lm.score(docs, crc_of_id() % 7 != 2)
+    return rows.select("doc_id", (crc_of_id() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
@@ -48,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_toxicity, op5_minhash, op6_packing, op8_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_toxicity, op5_minhash, op6_packing, op7_lm, op8_warc, op10_sharding)}
 
 
 def queries() -> dict:

@@ -1,9 +1,11 @@
 """Near-duplicate documents by HyperMinHash, banding and full verification.
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Its
-sketch has ``BUCKETS`` registers: every shingle falls into one bucket, and the
-register keeps the leading-zero count and the next ten bits of the bucket's
-least hash (16 bits in all). Documents with equal sets are one class from the
+sketch has ``BUCKETS`` registers: a bucket has a hash of its own, and its
+register keeps the leading-zero count and the next ten bits of the least value
+over the set (16 bits in all). Were shingles dealt out to buckets by one hash,
+short texts would leave most buckets empty, and their bands would rest on one
+shingle, such as a licence line's. Documents with equal sets are one class from the
 start, through a fingerprint of the set. Bands of four registers give
 candidates; the collision-corrected estimate drops those that five standard
 deviations cannot bring to the threshold; the rest is confirmed on full sets.
@@ -42,6 +44,8 @@ HUBS = (1, 16, 64)
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 
+_FACTORS = (mix(np.arange(1000, 1000 + BUCKETS, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+
 
 def shingle_sets(s) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row of a slice."""
@@ -67,20 +71,21 @@ def shingle_sets(s) -> list[np.ndarray]:
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """(rows, BUCKETS) sketches: 0 for an empty bucket, else zeros and mantissa."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    least = np.full(len(sets) * BUCKETS, np.iinfo(U64).max, U64)
-    flat = np.concatenate(sets) if len(sets) else np.empty(0, U64)
-    bucket = ((flat >> U64(32)) * U64(BUCKETS)) >> U64(32)
-    key = np.repeat(np.arange(len(sets)) * BUCKETS, size) + bucket.astype(np.int64)
-    rest = mix(flat ^ U64(0x5851F42D4C957F2D)) >> U64(1)
-    np.minimum.at(least, key, rest)
-    full = least != np.iinfo(U64).max
-    value = np.maximum(least, U64(1))
-    zeros = 63 - np.minimum(np.frexp(value.astype(np.float64))[1], 63)
-    mantissa = (value << (zeros + 1).astype(U64)) >> U64(64 - MANTISSA)
-    out = np.where(full, ((np.minimum(zeros, 62) + 1) << MANTISSA) | mantissa.astype(np.int64), 0)
-    return out.astype("<u2").reshape(len(sets), BUCKETS)
+    """(rows, BUCKETS) sketches: 0 throughout for an empty set, else for each
+    bucket the zeros and mantissa of the least value of the bucket's hash."""
+    least = np.zeros((len(sets), BUCKETS), np.uint32)
+    for k, x in enumerate(sets):
+        folded = (x ^ (x >> U64(32))).astype(np.uint32)
+        for a in range(0, len(x), 1024):
+            values = folded[a : a + 1024, None] * _FACTORS
+            values ^= values >> np.uint32(15)
+            low = values.min(axis=0)
+            least[k] = np.minimum(least[k], low) if a else low
+    filled = np.array([len(x) > 0 for x in sets], bool)
+    value = np.maximum(least, np.uint32(1)).astype(np.int64)
+    zeros = 32 - np.frexp(value.astype(np.float64))[1]
+    mantissa = ((value << (zeros + 1)) & 0xFFFFFFFF) >> (32 - MANTISSA)
+    return np.where(filled[:, None], ((zeros + 1) << MANTISSA) | mantissa, 0).astype("<u2")
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

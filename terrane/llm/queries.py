@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_code
-from . import bpe, lm, minhash, packing, sharding, suffix_dedup, toxicity, warc
+from . import bpe, cap_filters, lm, minhash, packing, sharding, suffix_dedup, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -49,12 +49,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.link(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.byte_shards(table(spark, sf_dir, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_toxicity, op5_minhash, op6_packing, op7_lm, op8_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_toxicity, op5_minhash, op6_packing, op7_lm, op8_warc, op9_cap_filters, op10_sharding)}
 
 
 def queries() -> dict:
@@ -129,6 +133,18 @@ SELECT page_id, warc_type, {_record_id_sql("warc_type || '|' || rid")} AS record
   CAST(strlen(block) AS BIGINT) AS content_length, {_DIGEST.format("block")} AS block_digest, digest AS source_payload_digest, block FROM k
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.b) AS component_id, vec_id = min(r.b) AS kept
+FROM embeddings JOIN r ON r.a = vec_id LEFT JOIN n ON n.a = vec_id GROUP BY vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_minhash": OP5_SQL, "op8_warc": OP8_SQL, "op9_cap_filters": OP9_SQL}

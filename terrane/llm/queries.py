@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_code
-from . import bpe, cap_filters, lm, minhash, packing, sharding, suffix_dedup, toxicity, warc
+from . import ann, bpe, cap_filters, lm, minhash, packing, sharding, suffix_dedup, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -25,6 +25,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.spans(table(spark, sf_dir, "documents")).select("doc_id", "first_word", "n_words", "later")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
@@ -58,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op4_toxicity, op5_minhash, op6_packing, op7_lm, op8_warc, op9_cap_filters, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_ann, op4_toxicity, op5_minhash, op6_packing, op7_lm, op8_warc, op9_cap_filters, op10_sharding)}
 
 
 def queries() -> dict:

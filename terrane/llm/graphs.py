@@ -50,15 +50,21 @@ FILTER_BITS = 26
 
 
 def only_ids(rows: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``rows`` whose ``column`` may be among ``ids`` (their first column).
+    """``rows`` whose ``column`` may be among ``ids`` (their first column)."""
+    return marked(rows, column, ids, bits).where("__maybe").drop("__maybe")
+
+
+def marked(rows: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``__maybe``: false where ``column`` is surely not among ``ids``.
 
     A one-hash filter of fixed size is built by a grouped bitmap aggregate and
-    broadcast: at most 2**bits bits, however many ids there are. It never drops
-    a row that belongs; what it lets through beside is for the join that follows.
+    broadcast: at most 2**bits bits, however many ids there are. It never rules
+    out a row that belongs; what it lets through beside is for the join that
+    follows, which thus shuffles little more than the rows it is about.
     """
     slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << bits)) + 1
     maps = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("__part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("__bits"))
-    own = (F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits)) + 1).alias("slot")
-    marked = rows.withColumn("__slot", own).withColumn("__part", F.expr("bitmap_bucket_number(__slot)")).withColumn("__at", F.expr("bitmap_bit_position(__slot)"))
-    hit = F.expr("shiftright(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) % 2 = 1")
-    return marked.join(F.broadcast(maps), "__part").where(hit).drop("__part", "__bits", "__slot", "__at")
+    own = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << bits)) + 1
+    placed = rows.withColumn("__slot", own).withColumn("__part", F.expr("bitmap_bucket_number(__slot)")).withColumn("__at", F.expr("bitmap_bit_position(__slot)"))
+    hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) % 2 = 1, false)")
+    return placed.join(F.broadcast(maps), "__part", "left").withColumn("__maybe", hit).drop("__part", "__bits", "__slot", "__at")

@@ -30,17 +30,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, mix, slices, words
-from .graphs import components, only_ids
+from .graphs import components, marked, only_ids
 
 WIDTH = 5
 BANDS, BAND = 48, 4
 BUCKETS = BANDS * BAND
 MANTISSA = 10
 #: Hubs a bucket tests in one round: one first, more for what is left.
-HUBS = (1, 16, 64)
+HUBS = (1, 32, 256)
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 
@@ -215,8 +216,6 @@ def link(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: s
             sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("size"))
             ranked = open_.join(sizes, ["key", "comp"])
             order = F.struct("size", "id")
-            from pyspark.sql import Window as W
-
             first = ranked.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(order))).where(F.col("rank") <= HUBS[min(turn, len(HUBS) - 1)])
             hubs = scratch.keep(first.select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hubs")
             pairs = open_.join(hubs, "key").where("comp <> hub_comp").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
@@ -239,6 +238,21 @@ def link(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: s
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
+def dedup(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: the one of the least id. All
+    columns as they are; of rows that repeat an id, the first in text order stays."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    linked = scratch.keep(link(docs, percent, id_col, text_col, scratch).select(F.col(id_col).alias("__id"), "kept"), "linked")
+    doubt = linked.where("__id is not null").groupBy("__id").agg(F.count("*").alias("__rows"), F.min("kept").alias("__kept")).where("__rows > 1 or not __kept")
+    doubt = scratch.keep(doubt, "doubt")
+    near = marked(docs.withColumn("__id", F.col(id_col)), "__id", doubt.select("__id"))
+    joined = near.where("__maybe").join(doubt, "__id", "left")
+    names = docs.columns
+    repeated = joined.where("__kept and __rows > 1").withColumn("__first", F.row_number().over(W.partitionBy("__id").orderBy(text_col, *[F.xxhash64(n) for n in names]))).where("__first = 1")
+    parts = [near.where("not __maybe"), joined.where("__rows is null"), repeated]
+    return parts[0].select(*names).union(parts[1].select(*names)).union(parts[2].select(*names))
+
+
 def _with_comp(member: DataFrame, comp: DataFrame) -> DataFrame:
     return member.join(comp.select(F.col("node").alias("id"), F.col("component")), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
 

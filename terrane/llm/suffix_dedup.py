@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, Slice, _power_tables, mix, slices, words
-from .graphs import only_ids
+from .graphs import marked, only_ids
 
 MIN_WORDS = 50
 HEAD = 16
@@ -207,8 +207,11 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     names = docs.columns
     text_at = names.index(text_col)
-    marked = docs.withColumn("__k", key).join(found.withColumnRenamed("k", "__k"), "__k", "left").drop("__k")
-    untouched = marked.where("__parts is null").select(*names)
+    found = scratch.keep(found.withColumnRenamed("k", "__k"), "copies")
+    # texts without copies pass by; only those that may have some meet their spans
+    near = marked(docs.withColumn("__k", key), "__k", found.select("__k"))
+    joined = near.where("__maybe").join(found, "__k", "left")
+    untouched = near.where("not __maybe").select(*names).union(joined.where("__parts is null").select(*names))
 
     def run(batches):
         for batch in batches:
@@ -229,5 +232,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
             cols[text_at] = pa.array(texts, batch.column(text_at).type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    cut = marked.where("__parts is not null").mapInArrow(run, docs.schema)
+    cut = joined.where("__parts is not null").select(*names, "__parts").mapInArrow(run, docs.schema)
     return untouched.union(cut)

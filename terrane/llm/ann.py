@@ -66,7 +66,7 @@ def decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _codes(column) -> np.ndarray:
     blobs = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
-    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1) if len(blobs) else np.empty((0, 8), np.uint8)
 
 
 def _struct_column(lists, name: str):
@@ -163,11 +163,8 @@ def _local_join(graph: DataFrame, nodes: DataFrame, degree: int, salt: int) -> D
     gathered = _drawn_edges(graph, salt).join(info, "m").groupBy("v").agg(F.collect_list(F.struct("m", "reach", "code")).alias("all"))
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
+        for lists in (batch.column(1).slice(k, 400) for batch in batches for k in range(0, batch.num_rows, 400)):
             cut = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).tolist()
-            if len(cut) < 2:
-                continue
             m, reach = (_struct_column(lists, n).to_numpy() for n in ("m", "reach"))
             v, n = decode(_codes(_struct_column(lists, "code")))
             out: list[tuple] = []
@@ -231,39 +228,32 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, scratch: Scra
     state = scratch.keep(state.select("q", "qcode", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<float>").alias("ds"), F.array().cast("array<boolean>").alias("done"), F.array("q").alias("front")), "state")
     schema = "q bigint, qcode binary, ids array<bigint>, ds array<float>, done array<boolean>, front array<bigint>"
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            found = batch.column(5)
-            c_all = _struct_column(found, "c").to_numpy()
-            codes = _struct_column(found, "code")
-            cut = np.append(0, np.cumsum(np.nan_to_num(found.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))).tolist()
-            for k, r in enumerate(batch.select(["q", "qcode", "ids", "ds", "done"]).to_pylist()):
-                ids, ds, done = np.array(r["ids"], np.int64), np.array(r["ds"], np.float32), np.array(r["done"], bool)
-                a, b = cut[k], cut[k + 1]
-                if b > a:
-                    c = c_all[a:b]
-                    new = ~np.isin(c, ids) & (c != r["q"])
-                    v, n = decode(_codes(codes.slice(a, b - a))[new])
-                    x, m = decode(np.frombuffer(r["qcode"], np.uint8)[None])
-                    ids, ds, done = np.concatenate([ids, c[new]]), np.concatenate([ds, np.maximum(n + m - 2 * (v @ x[0]), 0)]), np.concatenate([done, np.zeros(new.sum(), bool)])
-                    order = np.lexsort((ids, ds))[:beam]
-                    ids, ds, done = ids[order], ds[order], done[order]
-                front = np.flatnonzero(~done)[:expand]
-                done[front] = True
-                rows.append((r["q"], r["qcode"], ids.tolist(), ds.tolist(), done.tolist(), ids[front].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.float32())), pa.array([r[4] for r in rows], pa.list_(pa.bool_())), pa.array([r[5] for r in rows], pa.list_(pa.int64()))],
-                names=["q", "qcode", "ids", "ds", "done", "front"],
-            )
+    def step(own, found):
+        """One query's beam after a round: a group has at most EXPAND nodes' neighbours."""
+        r = own.select(["q", "qcode", "ids", "ds", "done"]).to_pylist()[0]
+        ids, ds, done = np.array(r["ids"], np.int64), np.array(r["ds"], np.float32), np.array(r["done"], bool)
+        if found.num_rows:
+            c = found.column("c").to_numpy()
+            new = np.flatnonzero(~np.isin(c, ids) & (c != r["q"]))
+            codes = _codes(found.column("code").combine_chunks())[new]
+            v, n = decode(codes)
+            x, m = decode(np.frombuffer(r["qcode"], np.uint8)[None])
+            ids, ds, done = np.concatenate([ids, c[new]]), np.concatenate([ds, np.maximum(n + m - 2 * (v @ x[0]), 0)]), np.concatenate([done, np.zeros(len(new), bool)])
+            order = np.lexsort((ids, ds))[:beam]
+            ids, ds, done = ids[order], ds[order], done[order]
+        front = np.flatnonzero(~done)[:expand]
+        done[front] = True
+        return pa.table([pa.array([r["q"]], pa.int64()), pa.array([r["qcode"]], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([ds], pa.list_(pa.float32())), pa.array([done.tolist()], pa.list_(pa.bool_())), pa.array([ids[front]], pa.list_(pa.int64()))], names=["q", "qcode", "ids", "ds", "done", "front"])
 
     while True:
         going = state.where(F.size("front") > 0)
         if not going.take(1):
             return state.select("q", "ids")
         met = going.select("q", F.explode("front").alias("node")).join(roads, "node").select("q", F.explode("to").alias("c")).distinct()
-        found = met.join(code, "c").groupBy("q").agg(F.collect_list(F.struct("c", "code")).alias("found"))
-        after = scratch.keep(state.join(found, "q", "left").select("q", "qcode", "ids", "ds", "done", F.coalesce("found", F.array().cast("array<struct<c: bigint, code: binary>>")).alias("found")).mapInArrow(run, schema), "state")
+        found = met.join(code, "c").select(F.col("q").alias("of"), "c", "code")
+        # queries whose beams are all expanded pass by untouched
+        moved = going.groupBy("q").cogroup(found.groupBy("of")).applyInArrow(step, schema)
+        after = scratch.keep(state.where(F.size("front") == 0).union(moved), "state")
         scratch.drop(state)
         state = after
 

@@ -112,36 +112,44 @@ def _filters(classes: DataFrame, books: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
                 sizes = np.array([len(x) for x in batch.column(3)])
                 for dim in np.unique(sizes).tolist():
                     same = batch.take(pa.array(np.flatnonzero(sizes == dim)))
                     row, f = decode(_unit(same.column(3)), books)
                     cut = np.searchsorted(row, np.arange(same.num_rows + 1))
                     lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f))
-                    for at in range(0, len(row), 20_000):
-                        take = pa.array(row[at : at + 20_000])
+                    for at in range(0, len(row), 10_000):
+                        take = pa.array(row[at : at + 10_000])
                         yield pa.RecordBatch.from_arrays(
-                            [same.column(0).take(take), pa.array(np.full(len(take), dim, np.int32)), pa.array(f[at : at + 20_000]), *(same.column(c).take(take) for c in (1, 2, 3)), lists.take(take)],
+                            [same.column(0).take(take), pa.array(np.full(len(take), dim, np.int32)), pa.array(f[at : at + 10_000]), *(same.column(c).take(take) for c in (1, 2, 3)), lists.take(take)],
                             names=["label", "dim", "filter", "rep", "times", "v", "filters"],
                         )
 
     return classes.select("label", "rep", "times", "v").mapInArrow(run, f"label {label}, dim int, filter bigint, rep {kind}, times bigint, v {vec}, filters array<bigint>")
 
 
-def _least_common(lists, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least filter that the lists of rows a and b share, pair by pair."""
-    offs = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy()
-    size = np.diff(offs)
-    table = np.full((len(size), int(size.max())), -1, np.int64)
-    table[np.arange(table.shape[1]) < size[:, None]] = flat[offs[0] : offs[-1]]
-    out = np.empty(len(a), np.int64)
-    for k in range(0, len(a), 4096):
-        x, y = table[a[k : k + 4096]], table[b[k : k + 4096]]
-        meets = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any(axis=2)
-        out[k : k + 4096] = np.where(meets, x, np.iinfo(np.int64).max).min(axis=1)
+def _counted(lists, own: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows (a, b) of one bucket: no filter below the bucket's own
+    is common to both, so the pair is counted here. Per bucket, filters below its
+    own are columns of an incidence matrix, whose product tells what is shared."""
+    offs, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    out = np.empty(len(a), bool)
+    order = np.argsort(group[a], kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(group[a][order]) != 0))
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+        pairs = order[lo:hi]
+        rows, where = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        size = offs[rows + 1] - offs[rows]
+        at = np.arange(size.sum()) + np.repeat(offs[rows] - np.cumsum(size) + size, size)
+        f, r = flat[at], np.repeat(np.arange(len(rows)), size)
+        below = f < own[a[pairs[0]]]
+        columns, inverse = np.unique(f[below], return_inverse=True)
+        has = np.zeros((len(rows), len(columns)), np.float32)
+        has[r[below], inverse] = 1
+        x, y = where[: len(pairs)], where[len(pairs) :]
+        out[pairs] = (has @ has.T)[x, y] == 0 if len(pairs) > 8 else [not (has[p] * has[q]).any() for p, q in zip(x, y)]
     return out
 
 
@@ -160,8 +168,8 @@ def _close(unit: np.ndarray, group: np.ndarray, own: np.ndarray, across: np.ndar
     n = np.maximum(end - np.arange(len(group)) - 1, 0)
     i = np.repeat(np.arange(len(group)), n)
     j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
-    for k in range(0, len(i), 50_000):
-        x, y = i[k : k + 50_000], j[k : k + 50_000]
+    for k in range(0, len(i), 20_000):
+        x, y = i[k : k + 20_000], j[k : k + 20_000]
         ok = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
         left.append(x[ok])
         right.append(y[ok])
@@ -181,7 +189,7 @@ def _meet(threshold: float):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 20_000:
+            if held.num_rows < 10_000:
                 continue
             task = held.column("task").to_numpy()
             cut = int(np.searchsorted(task != task[-1], False)) if task[0] == task[-1] else int(np.flatnonzero(task != task[-1])[-1]) + 1
@@ -201,7 +209,7 @@ def _meet(threshold: float):
                 i, j = _close(_unit(b.column("v")), b.column("task").to_numpy(), own, lo != hi, threshold)
                 if not len(i):
                     continue
-                first = _least_common(b.column("filters"), i, j) == b.column("filter").to_numpy()[i]
+                first = _counted(b.column("filters"), b.column("filter").to_numpy(), b.column("task").to_numpy(), i, j)
                 times = b.column("times").to_numpy()
                 n = np.bincount(i[first], weights=times[j[first]], minlength=len(own)) + np.bincount(j[first], weights=times[i[first]], minlength=len(own))
                 root = np.arange(len(own))

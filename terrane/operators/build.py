@@ -32,8 +32,8 @@ def services(discoveries: DataFrame) -> DataFrame:
     r = F.col("r")
     ns = F.coalesce(r["repo"], F.lit("unknown"))
     attributes = _attributes(
-        language=r["language"], entry_point=r["entry_point"], framework=r["framework"], repo_url=r["repo"], deployment_method=r["deployment.deployment_method"],
-        terraform_workspace=r["deployment.terraform_workspace"], environment=r["deployment.environment"], stack_name=r["deployment.stack_name"],
+        language=r["language"], entry_point=r["entry_point"], framework=r["framework"], repo_url=r["repo"], deployment_method=r["deployment"]["deployment_method"],
+        terraform_workspace=r["deployment"]["terraform_workspace"], environment=r["deployment"]["environment"], stack_name=r["deployment"]["stack_name"],
     )
     return _node_columns(per, r["ordinal"], F.lit("service"), ns, F.col("name"), attributes, r["source_file"], r["source_line"])
 
@@ -46,7 +46,7 @@ def resources(discoveries: DataFrame) -> DataFrame:
     per = named.groupBy("node_type", "resource").agg(F.min_by(F.struct(*named.columns), "ordinal").alias("r"))
     r = F.col("r")
     sub = lambda t: F.when(F.col("node_type") == t, r["sub_type"])
-    attributes = _attributes(db_type=sub("database"), queue_type=sub("queue"), resource_type=sub("cloud_resource"), table_name=F.when(F.col("node_type") == "database", r["name"]), environment=r["deployment.environment"], deployment_method=r["deployment.deployment_method"])
+    attributes = _attributes(db_type=sub("database"), queue_type=sub("queue"), resource_type=sub("cloud_resource"), table_name=F.when(F.col("node_type") == "database", r["name"]), environment=r["deployment"]["environment"], deployment_method=r["deployment"]["deployment_method"])
     return _node_columns(per.withColumnRenamed("resource", "name"), r["ordinal"], F.col("node_type"), F.coalesce(r["repo"], F.lit("unknown")), F.col("name"), attributes, r["source_file"], r["source_line"])
 
 

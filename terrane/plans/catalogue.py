@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parsers
 from ..functions import scalars as S
 from ..operators import budget, coupling, gaps, incremental, instructions, query, repos, traverse
 from ..operators.build import upsert_nodes
@@ -126,9 +127,16 @@ def shared_reads(g: Graph) -> DataFrame:
     return coupling.shared_access(access, coupling.all_owners(g, access)).where("edge_type = 'READS_SHARED'").select("src", "dst")
 
 
-@register(OWNERS + " SELECT svc AS src, res AS dst FROM acc JOIN own USING (res) WHERE svc <> owner AND writes")
+def _owned(g: Graph) -> Graph:
+    """The graph with a declared owner of each part: its least accessor."""
+    own = g.edges.where("edge_type in ('READS', 'WRITES')").groupBy("dst").agg(F.min("src").alias("src")).withColumn("edge_type", F.lit("OWNS")).withColumn("ordinal", F.lit(0).cast("bigint"))
+    return Graph(g.nodes, g.edges.unionByName(own, allowMissingColumns=True))
+
+
+@register(ACCESS + ", o AS (SELECT dst AS res, min(src) AS owner FROM e WHERE edge_type IN ('READS', 'WRITES') GROUP BY 1) SELECT svc AS src, res AS dst FROM acc JOIN o USING (res) WHERE svc <> owner AND writes")
 @on_graph
 def shared_writes(g: Graph) -> DataFrame:
+    g = _owned(g)
     access = coupling.access_map(g)
     return coupling.shared_access(access, coupling.all_owners(g, access)).where("edge_type = 'WRITES_SHARED'").select("src", "dst")
 
@@ -393,13 +401,13 @@ def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- budget
 
-BUDGET = 3000
+BUDGET = 40000
 PRICED = (
     RELEVANT
     + """,
 pr AS (SELECT s.id, score, depth, CAST(CASE WHEN score > 0.7 THEN 100 + 2 * t + 15 * n_attr + CASE WHEN node_type = 'service' THEN 50 ELSE 0 END WHEN score > 0.4 THEN 50 + t ELSE 10 + t END AS BIGINT) AS tokens
   FROM sub s JOIN (SELECT id, node_type, n_attr, CAST(ceil(length(display_name) / 4.0) AS BIGINT) AS t FROM n) m ON m.id = s.id),
-kept AS (SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY score DESC, depth, id) AS BIGINT) AS used FROM pr) WHERE used + 100 <= 3000)"""
+kept AS (SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (ORDER BY score DESC, depth, id) AS BIGINT) AS used FROM pr) WHERE used + 100 <= 40000)"""
 )
 
 
@@ -413,7 +421,7 @@ def budget_nodes(g: Graph) -> DataFrame:
 @register(
     PRICED
     + """ SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (ORDER BY ordinal, src, dst, edge_type) AS rn FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept))
-WHERE rn <= greatest(0, (3000 - (SELECT coalesce(max(used), 0) FROM kept) - 100) // 30)"""
+WHERE rn <= greatest(0, (40000 - (SELECT coalesce(max(used), 0) FROM kept) - 100) // 30)"""
 )
 @on_graph
 def budget_edges(g: Graph) -> DataFrame:
@@ -630,6 +638,68 @@ def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repos.scan_diff(_scan(spark, sf_dir, "l_returnflag <> 'N'"), _scan(spark, sf_dir, "l_returnflag <> 'A'"))
 
 
+# -------------------------------------------------------------------- parsers
+
+
+def _sources(spark: SparkSession, sf_dir: str, path: str, head: str, line, tail: str = "", joined: str = "\n") -> DataFrame:
+    """A source file for each supplier that touches the parts it ships in bulk."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_suppkey", "l_partkey").distinct()
+    body = F.array_join(F.array_sort(F.collect_list(line(F.col("l_partkey").cast("string")))), joined)
+    per = li.groupBy("l_suppkey").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("content"))
+    return per.select(F.col("l_suppkey").alias("repo_index"), F.concat(F.lit("org/supplier-"), F.col("l_suppkey").cast("string")).alias("repo"), F.lit(path).alias("path"), "content")
+
+
+def _found(files: DataFrame, language: str) -> DataFrame:
+    found = parsers.discover(files, (language,))
+    return found.where("kind = 'database_access'").select("repo", "name", "operation")
+
+
+def _touch_sql(operation: str) -> str:
+    return f" SELECT DISTINCT 'org/supplier-' || CAST(l_suppkey AS VARCHAR) AS repo, 'part-' || CAST(l_partkey AS VARCHAR) AS name, '{operation}' AS operation FROM lineitem WHERE l_quantity >= 48"
+
+
+@register(_touch_sql("Read"))
+def parse_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda k: F.concat(F.lit("client.get_item(TableName='part-"), k, F.lit("', Key={})"))
+    return _found(_sources(spark, sf_dir, "app.py", "import boto3\nclient = boto3.client('dynamodb')\n", line), "python")
+
+
+@register(_touch_sql("Write"))
+def parse_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda k: F.concat(F.lit("await client.send(new PutItemCommand({ TableName: 'part-"), k, F.lit("', Item: {} })); // put"))
+    return _found(_sources(spark, sf_dir, "src/index.js", "import { PutItemCommand } from '@aws-sdk/client-dynamodb'\n", line), "javascript")
+
+
+@register(_touch_sql("Unknown"))
+def parse_terraform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda k: F.concat(F.lit('resource "aws_dynamodb_table" "t'), k, F.lit('" {\n  name = "part-'), k, F.lit('"\n  tags = {\n    Environment = "prod"\n  }\n}'))
+    return _found(_sources(spark, sf_dir, "main.tf", "", line), "terraform")
+
+
+@register(_touch_sql("Unknown"))
+def parse_cloudformation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda k: F.concat(F.lit('"T'), k, F.lit('": {"Type": "AWS::DynamoDB::Table", "Properties": {"TableName": "part-'), k, F.lit('"}}'))
+    return _found(_sources(spark, sf_dir, "template.json", '{"Resources": {', line, "}}", ", "), "cloudformation")
+
+
+@register(
+    """ , t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 48)
+SELECT 'node' AS what, 'service:org-supplier-' || s || ':supplier-' || s AS a, '' AS b FROM (SELECT DISTINCT CAST(s AS VARCHAR) AS s FROM t)
+UNION ALL SELECT 'node', 'database:org-supplier-' || CAST(min(s) AS VARCHAR) || ':part-' || CAST(p AS VARCHAR), '' FROM t GROUP BY p
+UNION ALL SELECT 'READS', 'service:org-supplier-' || CAST(s AS VARCHAR) || ':supplier-' || CAST(s AS VARCHAR), 'part-' || CAST(p AS VARCHAR) FROM t"""
+)
+def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files to a graph: parsed, named, folded and checked."""
+    from ..operators.build import build
+
+    line = lambda k: F.concat(F.lit("client.get_item(TableName='part-"), k, F.lit("', Key={})"))
+    found = traverse.settle(parsers.discover(_sources(spark, sf_dir, "lib/db.py", "", line), ("python",)))
+    g, _ = build(found)
+    names = g.nodes.select(F.col("id").alias("dst"), "display_name")
+    nodes = g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit("").alias("b"))
+    return nodes.union(g.edges.join(names, "dst").select("edge_type", "src", "display_name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

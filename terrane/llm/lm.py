@@ -50,7 +50,9 @@ LANES = 512
 #: Longest run that training takes as one text; scoring never cuts.
 SEGMENT = 2048
 #: Tokens that go through the network together.
-GROUP = 3_000_000
+GROUP = 2_000_000
+#: Steps between outputs in scoring, where no gradient bounds the window.
+SCORE_WINDOW = 64
 
 END = int(mix(np.array([0xE0D], U64)).view(np.int64)[0])
 SHAPES = 64
@@ -150,7 +152,7 @@ class Network:
         for i in order.tolist():
             self.slot[i] = size[cls[i]]
             size[cls[i]] += 1
-        self.width = int(size.max())
+        self.width, self.held = int(size.max()), size.tolist()
         H = HIDDEN
         shape = {"A": (v, 3 * H), "U": (H, 3 * H), "Wc": (H, self.classes), "bc": (self.classes,), "Wo": (self.classes, H, self.width), "bo": (self.classes, self.width)}
         total = sum(int(np.prod(x)) for x in shape.values())
@@ -223,8 +225,10 @@ class Network:
                 continue
             idx = order[cut[k] : cut[k + 1]]
             own = hs[idx]
-            lo = own @ p["Wo"][k]
-            lo += p["bo"][k]
+            w = self.held[k]
+            weight = p["Wo"][k][:, :w]
+            lo = own @ weight
+            lo += p["bo"][k][:w]
             at = np.arange(len(idx))
             got = lo[at, slot[idx]]
             np.exp(lo, out=lo)
@@ -233,8 +237,8 @@ class Network:
             if grads is not None:
                 d = lo / total[:, None]
                 d[at, slot[idx]] -= 1
-                grads["Wo"][k], grads["bo"][k] = own.T @ d, d.sum(axis=0)
-                dh[idx] += d @ p["Wo"][k].T
+                grads["Wo"][k][:, :w], grads["bo"][k][:w] = own.T @ d, d.sum(axis=0)
+                dh[idx] += d @ weight.T
         return out, dh
 
     def train_window(self, x, y, reset, valid, h):
@@ -299,7 +303,7 @@ def lanes(sizes: np.ndarray) -> list[list[int]]:
     return out
 
 
-def feed(items: np.ndarray, bounds: np.ndarray):
+def feed(items: np.ndarray, bounds: np.ndarray, window: int = WINDOW):
     """Windows of the texts ``items[bounds]`` (each ends with the end item):
     (x, y, reset, valid, text) by step and lane."""
     sizes = np.diff(bounds)
@@ -318,16 +322,16 @@ def feed(items: np.ndarray, bounds: np.ndarray):
     x = np.full_like(y, SHAPES)
     x[:, 1:] = y[:, :-1]
     x[reset] = SHAPES
-    for t in range(0, total, WINDOW):
-        part = slice(t, t + WINDOW)
+    for t in range(0, total, window):
+        part = slice(t, t + window)
         yield x[:, part].T, y[:, part].T, reset[:, part].T, (text[:, part] >= 0).T, text[:, part].T
 
 
-def itemised(column, known: Words):
+def itemised(column, known: Words, detailed: bool = True):
     """Per group of texts: items, bounds, and what the tails need.
 
     Yields (rows, items, bounds, details) where details are per word (text,
-    count, hash, shape) of all words, without the end token."""
+    count, hash, shape) of the rarer words, if ``detailed``."""
     parts: list = []
     held = 0
 
@@ -346,7 +350,7 @@ def itemised(column, known: Words):
         size = np.bincount(row, minlength=n) + 1
         full = np.full(len(h) + n, SHAPES, np.int32)
         full[np.arange(len(h)) + row] = item
-        rare = np.flatnonzero(item < SHAPES)
+        rare = np.flatnonzero(item < SHAPES) if detailed else np.empty(0, np.int64)
         parts.append((s.rows, full, size, (row[rare] + s.rows.start, count[rare], h[rare], shape[rare]), None))
         held += len(full)
         if held >= GROUP:
@@ -361,7 +365,7 @@ def score_texts(column, known: Words, net: Network):
         bounds = np.append(0, np.cumsum(sizes))
         total = np.zeros(len(sizes))
         h = None
-        for x, y, reset, valid, text in feed(items, bounds):
+        for x, y, reset, valid, text in feed(items, bounds, SCORE_WINDOW):
             if h is None:
                 h = np.zeros((x.shape[1], HIDDEN), np.float32)
             hs, h, _ = net.run(x, reset, h, keep=False)
@@ -431,7 +435,7 @@ def train(texts: DataFrame, known: Words) -> np.ndarray:
     def warm(batches):
         k = shared.value
         net = Network(k.freq)
-        groups = [(i, np.append(0, np.cumsum(sizes))) for b in batches for _, i, sizes, _ in itemised(b.column(0), k)]
+        groups = [(i, np.append(0, np.cumsum(sizes))) for b in batches for _, i, sizes, _ in itemised(b.column(0), k, detailed=False)]
         tokens = sum(len(g[0]) for g in groups)
         for _ in range(max(1, min(20, WARM_TOKENS // max(1, tokens)))):
             for items, bounds in groups:
@@ -448,7 +452,7 @@ def train(texts: DataFrame, known: Words) -> np.ndarray:
         k = shared.value
         net, n = Network(k.freq, first.value.copy()), 0
         for batch in batches:
-            for _, items, sizes, _ in itemised(batch.column(0), k):
+            for _, items, sizes, _ in itemised(batch.column(0), k, detailed=False):
                 train_texts(net, items, np.append(0, np.cumsum(sizes)))
                 n += len(items)
         if n:

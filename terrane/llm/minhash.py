@@ -40,7 +40,8 @@ WIDTH = 5
 BANDS, BAND = 48, 4
 BUCKETS = BANDS * BAND
 MANTISSA = 10
-#: Hubs a bucket tests in one round: one first, more for what is left.
+#: Hubs a bucket tests in one round: one first, more for what is left, as each
+#: round is a set of jobs whose plans the driver holds.
 HUBS = (1, 32, 256)
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)

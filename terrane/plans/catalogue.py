@@ -14,7 +14,6 @@ from ..operators.build import upsert_nodes
 from ..schema import Graph
 from . import render, views
 
-AS_OF = F.lit(views.AS_OF).cast("timestamp")
 START = "service:tpch:customer-1"
 SUPPLIER = "service:tpch:supplier-1"
 PART = "database:tpch:part-1"
@@ -447,8 +446,8 @@ SELECT id, d AS age_days, s > 7 * 86400 AS stale, CASE WHEN d <= 0 THEN 'today'
 )
 @on_graph
 def staleness_report(g: Graph) -> DataFrame:
-    u = "updated_at"
-    return g.nodes.select("id", S.age_days(u, AS_OF).alias("age_days"), S.is_stale(u, 7, AS_OF).alias("stale"), S.staleness(u, AS_OF).alias("age"))
+    u, as_of = "updated_at", F.lit(views.AS_OF).cast("timestamp")
+    return g.nodes.select("id", S.age_days(u, as_of).alias("age_days"), S.is_stale(u, 7, as_of).alias("stale"), S.staleness(u, as_of).alias("age"))
 
 
 # ---------------------------------------------------------------- incremental

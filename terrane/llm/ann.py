@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cap_filters import usable
-from .common import Scratch
+from .common import Scratch, drawn
 
 DEGREE = 32
 IN_EDGES = 40
@@ -116,8 +116,8 @@ def _first_graph(nodes: DataFrame, count: int, dim: int, degree: int) -> DataFra
     planes = rng.normal(size=(dim, TREES * depth)).astype(np.float32)
     offsets = np.zeros(TREES * depth, np.float32)
     if depth:
-        drawn = nodes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("code").toArrow().column(0).combine_chunks()
-        offsets = np.median(decode(_codes(drawn))[0] @ planes, axis=0)
+        some = drawn(nodes.select("id", "code"), SAMPLE, count, "id").select("code").toArrow().column(0).combine_chunks()
+        offsets = np.median(decode(_codes(some))[0] @ planes, axis=0)
     weights = 1 << np.arange(depth, dtype=np.int64)
 
     def cells(batches):

@@ -20,7 +20,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes of text handled by one vectorised step; one longer text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -191,8 +190,12 @@ def words(s: Slice, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    row = np.searchsorted(s.bounds, starts, side="right") - 1
-    return span_hashes(data, starts, ends), starts, ends, row
+    return span_hashes(data, starts, ends), starts, ends, rows_of(s, starts)
+
+
+def rows_of(s: Slice, starts: np.ndarray) -> np.ndarray:
+    """The row that each of the rising positions lies in."""
+    return np.repeat(np.arange(len(s.rows)), np.diff(np.searchsorted(starts, s.bounds)))
 
 
 # --------------------------------------------------- splitting as tokenizers do
@@ -291,7 +294,7 @@ def pretokens(s: Slice, marked: bytes, fold: bool) -> tuple[np.ndarray, np.ndarr
         cut[p[two & ~one] + 3] = True
     starts = np.flatnonzero(cut[:-1])
     ends = np.append(starts[1:], n)
-    keep = ~odd_rows[(row := np.searchsorted(s.bounds, starts, side="right") - 1)]
+    keep = ~odd_rows[(row := rows_of(s, starts))]
     if fold:
         keep &= kind[starts] != SPACE
     return data, starts[keep], ends[keep], row[keep], odd_rows
@@ -358,6 +361,11 @@ def row_bounds(row: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def arrow_map(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a schema string."""
-    return df.mapInArrow(fn, schema)
+def drawn(rows: DataFrame, most: int, total: int, *key: str) -> DataFrame:
+    """At most ``most`` of about ``total`` rows, by a hash of their key columns.
+
+    A plain ordered limit would send that many rows of every partition to one
+    task; here a hash threshold first leaves about twice as many in all."""
+    h = F.xxhash64(*key)
+    near = rows if total <= 2 * most else rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * most / total))
+    return near.orderBy(h, *key).limit(most)

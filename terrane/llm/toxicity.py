@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_LETTERS, U64, Scratch, mix, slices, span_hashes, words
+from .common import LOWER, NOT_LETTERS, U64, Scratch, drawn, mix, slices, span_hashes, words
 from .minhash import shingle_sets
 
 MAX_EXAMPLES = 8192
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
+    sample = drawn(known, max_examples, known.count(), "id")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -239,9 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
 
     # copies of one text would make its rare words look telling: one example stays
     # of those with one label and one least shingle (near copies share it)
-    drawn = scratch.keep(examples.select("id", "text", "y").mapInArrow(sketch, f"id {kind}, text string, y int, sketch bigint"), "drawn")
-    single = drawn.groupBy("y", "sketch").agg(F.min("id").alias("id"))
-    examples = scratch.keep(drawn.join(F.broadcast(single), ["y", "sketch", "id"], "left_semi").dropDuplicates(["id"]).select("id", "text", "y"), "examples")
+    sampled = scratch.keep(examples.select("id", "text", "y").mapInArrow(sketch, f"id {kind}, text string, y int, sketch bigint"), "sampled")
+    single = sampled.groupBy("y", "sketch").agg(F.min("id").alias("id"))
+    examples = scratch.keep(sampled.join(F.broadcast(single), ["y", "sketch", "id"], "left_semi").dropDuplicates(["id"]).select("id", "text", "y"), "examples")
 
     def count(batches):
         for batch in batches:

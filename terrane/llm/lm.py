@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, Scratch, mix, slices, words
+from .common import U64, Scratch, drawn, mix, slices, words
 
 HIDDEN = 16
 WINDOW = 16
@@ -94,6 +94,7 @@ class Words:
         self.size = SHAPES + 1 + len(top)
         freq = np.ones(self.size)
         count = {x[0]: x[1] for x in head}
+        self.documents = count.get(END, 0)
         freq[SHAPES] += count.get(END, 0)
         for k, x in enumerate(top):
             freq[SHAPES + 1 + k] += x[1]
@@ -182,7 +183,7 @@ class Network:
         steps, lanes = x.shape
         a = p["A"][x]
         hs = np.empty((steps, lanes, H), np.float32)
-        saved = []
+        saved = [np.empty((steps, lanes, k * H), np.float32) for k in (1, 2, 1, 1)] if keep else None
         any_reset = reset.any(axis=1).tolist()
         for t in range(steps):
             if any_reset[t]:
@@ -193,7 +194,8 @@ class Network:
             r, z = rz[:, :H], rz[:, H:]
             n = np.tanh(g[:, 2 * H :] + r * u[:, 2 * H :])
             if keep:
-                saved.append((h, r, z, n, u[:, 2 * H :]))
+                for store, value in zip(saved, (h, rz, n, u[:, 2 * H :])):
+                    store[t] = value
             h = n + z * (h - n)
             hs[t] = h
         return hs, h, saved
@@ -201,83 +203,105 @@ class Network:
     def output(self, hs: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log-probability of each target; gradients too if asked."""
         p = self.p
-        c = self.cls[y]
+        # in the order of classes: each class is then one slice of every array
+        order = np.argsort(self.cls[y], kind="stable")
+        hs, y = hs[order], y[order]
+        c, slot, at = self.cls[y], self.slot[y], np.arange(len(y))
+        cut = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
         # states lie in (-1, 1) and weights stay small, so no maximum needs taking off
         logits = hs @ p["Wc"]
         logits += p["bc"]
-        at = np.arange(len(y))
-        picked = logits[at, c]
+        log_p = logits[at, c]
         np.exp(logits, out=logits)
         total = logits.sum(axis=1)
-        out = picked - np.log(total)
+        log_p -= np.log(total)
         dh = None
         if grads is not None:
-            d = logits / total[:, None]
-            d[at, c] -= 1
-            grads["Wc"], grads["bc"] = hs.T @ d, d.sum(axis=0)
-            dh = d @ p["Wc"].T
+            logits /= total[:, None]
+            logits[at, c] -= 1
+            grads["Wc"], grads["bc"] = hs.T @ logits, logits.sum(axis=0)
+            dh = logits @ p["Wc"].T
             grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 1)).tolist()
-        slot = self.slot[y]
         for k in range(self.classes):
-            if cut[k] == cut[k + 1]:
+            a, b = cut[k], cut[k + 1]
+            if a == b:
                 continue
-            idx = order[cut[k] : cut[k + 1]]
-            own = hs[idx]
-            w = self.held[k]
+            w, own = self.held[k], hs[a:b]
             weight = p["Wo"][k][:, :w]
             lo = own @ weight
             lo += p["bo"][k][:w]
-            at = np.arange(len(idx))
-            got = lo[at, slot[idx]]
+            here = at[: b - a]
+            got = lo[here, slot[a:b]]
             np.exp(lo, out=lo)
             total = lo.sum(axis=1)
-            out[idx] += got - np.log(total)
+            log_p[a:b] += got - np.log(total)
             if grads is not None:
-                d = lo / total[:, None]
-                d[at, slot[idx]] -= 1
-                grads["Wo"][k][:, :w], grads["bo"][k][:w] = own.T @ d, d.sum(axis=0)
-                dh[idx] += d @ weight.T
+                lo /= total[:, None]
+                lo[here, slot[a:b]] -= 1
+                grads["Wo"][k][:, :w], grads["bo"][k][:w] = own.T @ lo, lo.sum(axis=0)
+                dh[a:b] += lo @ weight.T
+        out = np.empty_like(log_p)
+        out[order] = log_p
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
-    def train_window(self, x, y, reset, valid, h):
-        """One step of truncated backpropagation; returns the carried state."""
+    def gradients(self, x, y, reset, valid, h):
+        """Gradients of a window's summed loss: of all but the embeddings, of the
+        embedding rows that it reads, and the carried state."""
         p, H = self.p, HIDDEN
         steps, lanes = x.shape
         hs, last, saved = self.run(x, reset, h, keep=True)
-        where = np.flatnonzero(valid.ravel())
         grads: dict[str, np.ndarray] = {}
+        whole = valid.all()  # as in most windows; then nothing needs picking out
+        where = slice(None) if whole else np.flatnonzero(valid.ravel())
         _, part = self.output(hs.reshape(-1, H)[where], y.ravel()[where], grads)
-        dhs = np.zeros((steps * lanes, H), np.float32)
-        dhs[where] = part
-        dhs = dhs.reshape(steps, lanes, H)
-        da = np.empty((steps, lanes, 3 * H), np.float32)
-        dU = np.zeros_like(p["U"])
+        if whole:
+            dhs = part.reshape(steps, lanes, H)
+        else:
+            dhs = np.zeros((steps * lanes, H), np.float32)
+            dhs[where] = part
+            dhs = dhs.reshape(steps, lanes, H)
+        before, rz, n, un = saved
+        r, z = rz[..., :H], rz[..., H:]
+        # what each step's gradient is multiplied with, for all steps at once
+        f_n = (1 - z) * (1 - n * n)
+        f_r = un * r * (1 - r)
+        f_z = (before - n) * z * (1 - z)
+        da, du = np.empty((steps, lanes, 3 * H), np.float32), np.empty((steps, lanes, 3 * H), np.float32)
+        back = np.ascontiguousarray(p["U"].T)
         carry = np.zeros((lanes, H), np.float32)
+        any_reset = reset.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            before, r, z, n, un = saved[t]
             dh = dhs[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            d = da[t]
-            d[:, :H] = dn * un * r * (1 - r)
-            d[:, H : 2 * H] = dh * (before - n) * z * (1 - z)
-            d[:, 2 * H :] = dn
-            du = d.copy()
-            du[:, 2 * H :] *= r
-            dU += before.T @ du
-            carry = dh * z + du @ p["U"].T
-            if reset[t].any():
+            d, e = da[t], du[t]
+            dn = np.multiply(dh, f_n[t], out=d[:, 2 * H :])
+            np.multiply(dn, f_r[t], out=d[:, :H])
+            np.multiply(dh, f_z[t], out=d[:, H : 2 * H])
+            e[:, : 2 * H] = d[:, : 2 * H]
+            np.multiply(dn, r[t], out=e[:, 2 * H :])
+            carry = e @ back
+            carry += dh * z[t]
+            if any_reset[t]:
                 carry[reset[t]] = 0
+        dU = before.reshape(-1, H).T @ du.reshape(-1, 3 * H)
         flat, items = da.reshape(-1, 3 * H)[where], x.ravel()[where]
         order = np.argsort(items, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(items[order]) != 0))
         rows = items[order][first]
         sums = np.add.reduceat(flat[order], first, axis=0)
         grads["U"] = dU
+        return grads, (rows, sums), last
+
+    def train_window(self, x, y, reset, valid, h):
+        """One step of truncated backpropagation (Adagrad); returns the carried state."""
+        grads, (rows, sums), last = self.gradients(x, y, reset, valid, h)
+        p = self.p
         if self.square is None:
             self.square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-        scale = np.float32(1 / len(where))
+        scale = np.float32(1 / max(1, valid.sum()))
         for name, g in grads.items():
             g *= scale
             sq = self.square[name]
@@ -345,13 +369,15 @@ def itemised(column, known: Words, detailed: bool = True):
         h, start, end, row = words(s)
         n = len(s.rows)
         count, item = known.look(h)
-        shape = shapes(s.data, start, end)
-        item = np.where(item < 0, shape, item)
+        rare = np.flatnonzero(item < 0)
+        shape = shapes(s.data, start[rare], end[rare])
+        item[rare] = shape
         size = np.bincount(row, minlength=n) + 1
         full = np.full(len(h) + n, SHAPES, np.int32)
         full[np.arange(len(h)) + row] = item
-        rare = np.flatnonzero(item < SHAPES) if detailed else np.empty(0, np.int64)
-        parts.append((s.rows, full, size, (row[rare] + s.rows.start, count[rare], h[rare], shape[rare]), None))
+        if not detailed:
+            rare = shape = rare[:0]
+        parts.append((s.rows, full, size, (row[rare] + s.rows.start, count[rare], h[rare], shape), None))
         held += len(full)
         if held >= GROUP:
             yield group()
@@ -369,7 +395,7 @@ def score_texts(column, known: Words, net: Network):
             if h is None:
                 h = np.zeros((x.shape[1], HIDDEN), np.float32)
             hs, h, _ = net.run(x, reset, h, keep=False)
-            where = np.flatnonzero(valid.ravel())
+            where = slice(None) if valid.all() else np.flatnonzero(valid.ravel())
             out, _ = net.output(hs.reshape(-1, HIDDEN)[where], y.ravel()[where])
             total += np.bincount(text.ravel()[where], weights=out, minlength=len(sizes))
         yield rows, sizes, total / np.log(10), details, items, bounds
@@ -428,7 +454,7 @@ def known_words(counts: DataFrame, most: int = HEAD) -> Words:
 
 
 def train(texts: DataFrame, known: Words) -> np.ndarray:
-    """Parameters of a network trained on all rows of ``texts(text)``."""
+    """Parameters of a network trained on all rows of ``texts(id, text)``."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(known)
 
@@ -442,8 +468,8 @@ def train(texts: DataFrame, known: Words) -> np.ndarray:
                 train_texts(net, items, bounds)
         yield pa.RecordBatch.from_arrays([pa.array([net.flat.tobytes()], pa.binary())], names=["flat"])
 
-    # a bounded sample: WARM_DOCUMENTS rows, first by a hash of the text
-    sample = texts.select("text").orderBy(F.xxhash64("text")).limit(WARM_DOCUMENTS).coalesce(1)
+    # a bounded sample on one task: WARM_DOCUMENTS rows by a hash of the id
+    sample = drawn(texts.select("id", "text"), WARM_DOCUMENTS, known.documents, "id").select("text").coalesce(1)
     rows = sample.mapInArrow(warm, "flat binary").collect()
     begin = np.frombuffer(rows[0]["flat"], np.float32) if rows else Network(known.freq).flat
     first = spark.sparkContext.broadcast(begin)
@@ -471,7 +497,7 @@ def train(texts: DataFrame, known: Words) -> np.ndarray:
     schema = "n double, flat binary"
     replicas = texts.select("text").mapInArrow(local, schema)
     groups = max(1, int(replicas.rdd.getNumPartitions() ** 0.5))
-    one = replicas.repartition(groups).mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).collect()
+    one = replicas.repartition(groups).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).collect()
     return (np.frombuffer(one[0]["flat"], np.float64) / one[0]["n"]).astype(np.float32) if one else begin
 
 
@@ -482,7 +508,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     scratch = scratch or Scratch(spark, "lm")
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = docs.where(learn).select(F.col(text_col).alias("text"))
+    texts = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = count_words(texts, scratch)
     known = known_words(counts)
     shared = spark.sparkContext.broadcast(known)

@@ -99,8 +99,7 @@ SELECT doc_id, any_value(n.n) AS n_shingles, min(b) AS component_id, doc_id = mi
 
 _DIGEST = "'sha1:' || sha1({})"
 _TEXT_RULES = [
-    (r"<!--.*?(-->|$)", "", "gis"),
-    (r"<(script|style|noscript|template)\b[^>]*>.*?(</(script|style|noscript|template)\s*>|$)", "", "gis"),
+    (r"<!--.*?(-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(</(script|style|noscript|template)\s*>|$)", "", "gis"),
     (r"</?(p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre|hr)\b[^>]*>", "\n", "gi"),
     (r"</?[a-z!][^>]*>", "", "gis"),
 ]
@@ -115,7 +114,7 @@ def _plain_text_sql(html: str) -> str:
         out = f"replace({out}, '&{name};', '{quote(to)}')"
     for pattern, to in warc.SPACING:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return out
+    return f"trim({out}, ' ' || chr(10))"
 
 
 def _record_id_sql(parts: str) -> str:

@@ -23,16 +23,23 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def _names(*tags: str) -> str:
+    """Tag names in any case. Spelt out, as a case-insensitive pattern takes half as long again."""
+    return "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in t) for t in tags) + ")"
+
+
+_HIDDEN = _names("script", "style", "noscript", "template")
+_BLOCKS = _names("p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "header", "footer", "nav", "title", "blockquote", "pre", "hr")
 #: (pattern, replacement) in order; all run in linear time.
 TEXT_RULES = [
-    (r"(?is)<!--.*?(-->|$)", ""),
-    (r"(?is)<(script|style|noscript|template)\b[^>]*>.*?(</(script|style|noscript|template)\s*>|$)", ""),
-    (r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre|hr)\b[^>]*>", "\n"),
-    (r"(?is)</?[a-z!][^>]*>", ""),
+    (rf"(?s)<(?:!--.*?(?:-->|$)|{_HIDDEN}\b[^>]*>.*?(?:</{_HIDDEN}\s*>|$))", ""),
+    (rf"</?{_BLOCKS}\b[^>]*>", "\n"),
+    (r"</?[a-zA-Z!][^>]*>", ""),
 ]
 #: Named references that decode; the ampersand comes last so that nothing decodes twice.
 ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("reg", "®"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"), ("euro", "€"), ("amp", "&")]
-SPACING = [(r"[ \t\f\r]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+#: Single blanks, most of all, match nothing.
+SPACING = [(r"[ \t\f\r]{2,}|[\t\f\r]", " "), (r" ?\n[ \n]*", "\n")]
 
 
 def plain_text(html: Column) -> Column:
@@ -42,9 +49,12 @@ def plain_text(html: Column) -> Column:
         out = F.regexp_replace(out, pattern, to)
     for name, to in ENTITIES:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(to))
-    for pattern, to in SPACING:
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    (blanks, blank), (breaks, line) = SPACING
+    # most texts have no such run, and looking for one is cheaper than replacing none
+    some = lambda y: F.contains(y, F.lit("  ")) | F.contains(y, F.lit("\t")) | F.contains(y, F.lit("\r")) | F.contains(y, F.lit("\f"))
+    out = F.transform(F.array(out), lambda y: F.when(some(y), F.regexp_replace(y, blanks, blank)).otherwise(y))[0]
+    out = F.regexp_replace(out, breaks, line)
+    return F.trim(out, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:

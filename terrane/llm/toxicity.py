@@ -1,31 +1,38 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Features are letter words (A-Z lowered) and their beginnings of 4 to 9 bytes,
-each also as "at least 2, 4 or 8 times". Terms that separate the labels
-significantly (chi-squared) make the vocabulary; document frequencies are
-counted over all documents. An example is a unit TF-IDF vector; examples with
-equal vectors are one class with its label counts, and classes lie in an
-inverted index of blocks: for each term and block of class numbers the greatest
-weight is known. A query sums these bounds, visits blocks from the highest
-bound down, scores their classes exactly and stops when no bound reaches the
-score at which ``neighbours`` examples are found: the exact nearest examples,
-ties included. Votes weighted by distance give a raw score, which an isotonic
-map fitted leave-one-out on the examples calibrates; the nearest examples' ids
-come along as evidence.
+Features are letter words (A-Z lowered) and their beginnings of 4 to 9 bytes.
+All features of the examples make the vocabulary; a feature that no example has
+meets none of them and is left out of a text's vector. A weight is (1 + ln of
+the count) x idf x (1 + ``TELLING`` x the feature's correlation with the label
+among the examples, the root of chi-squared over their number); document
+frequencies are counted over all documents. An example is a unit vector of
+these; examples with equal vectors are one class with its label counts, and
+classes lie in an inverted index of blocks. Features that many examples have
+are a dense matrix, and what they add is a matrix product; for each other
+feature and block of class numbers the greatest weight is known. A query bounds
+its blocks by these, visits them from the highest bound down, scores their
+classes exactly and stops when no bound reaches the score at which
+``neighbours`` examples are found: the exact nearest examples, ties included.
+Votes weighted by distance give a raw score, which an isotonic map fitted
+leave-one-out on the examples calibrates; the nearest examples' ids come along
+as evidence.
 
 The examples are a bounded sample (``MAX_EXAMPLES`` labelled rows, by a hash of
 the id): a parameter, as the index is broadcast. Counting and scoring read all
 documents, each in one pass without a shuffle of texts.
 
 Defined results: null, empty and very long texts are scored like any other (a
-text with no term gets the rate of such examples); of labels repeated for one
-id the greatest counts, null labels and ids none; with no labels or one class
-only, every score is the smoothed rate; repeated rows are scored alike; an
-empty table gives an empty table; other columns are not read.
+text with no feature of the examples gets the prior, the smoothed rate of the
+examples without a feature that stands significantly with the label, and no
+evidence); of labels repeated for one id the greatest counts, null labels and ids none; with no
+labels or one class only, every score is the smoothed rate; repeated rows are
+scored alike; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,39 +42,33 @@ from .common import LOWER, NOT_LETTERS, U64, Scratch, drawn, mix, slices, span_h
 from .minhash import shingle_sets
 
 MAX_EXAMPLES = 8192
-MAX_TERMS = 2048
-MIN_CHI2 = 40.0
-MIN_DF = 5
 NEIGHBOURS = 25
 BLOCK = 64
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
-LEVELS = (1, 2, 4, 8)
+TELLING = 30.0
+#: Chi-squared from which a feature counts as a sign; only the prior depends on it.
+SIGN = 40.0
+#: Features in the dense matrix at most; it takes 8 bytes for each and class.
+DENSE = 1024
+#: Texts scored by one matrix product, and document frequencies summed as one value.
+BATCH, CHUNK = 128, 4096
 
 
-def features(s, wanted: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature hash, count) of a slice; with ``wanted`` (a bitmap by the
-    top 16 bits) and ``known`` (sorted) only features among those."""
+def occurrences(s):
+    """(row, feature hash) arrays of a slice: its words, then their beginnings of each size."""
     h, start, end, row = words(s, NOT_LETTERS)
     data = LOWER[s.data]
-    rows, found = [], []
-    for size in (0, *BEGINNINGS):
-        if size:
-            longer = np.flatnonzero(end - start > size)
-            at = start[longer]
-            f, r = mix(span_hashes(data, at, at + size) ^ U64(size)), row[longer]
-        else:
-            f, r = h, row
-        if wanted is not None:
-            near = wanted[(f >> U64(48)).astype(np.int64)]
-            f, r = f[near], r[near]
-        rows.append(r)
-        found.append(f)
+    yield row, h
+    for size in BEGINNINGS:
+        longer = np.flatnonzero(end - start > size)
+        at = start[longer]
+        yield row[longer], mix(span_hashes(data, at, at + size) ^ U64(size))
+
+
+def features(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature hash, count) of a slice."""
+    rows, found = zip(*occurrences(s))
     f, r = np.concatenate(found), np.concatenate(rows)
-    if known is not None:
-        at = np.searchsorted(known, f)
-        hit = at < len(known)
-        hit[hit] = known[at[hit]] == f[hit]
-        f, r = f[hit], r[hit]
     if not len(f):
         return r, f, r
     order = np.lexsort((f, r))
@@ -78,80 +79,163 @@ def features(s, wanted: np.ndarray | None = None, known: np.ndarray | None = Non
     return r[at], f[at], np.diff(np.append(at, len(f)))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ``start`` to ``start + size`` one after another."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
+
+
 class Vocabulary:
-    """Selected (feature, level) terms."""
-
-    def __init__(self, terms: list[tuple[int, int]]):
-        hashes = np.array([t[0] for t in terms], np.int64).view(U64) if terms else np.empty(0, U64)
-        self.known = np.unique(hashes)
-        self.wanted = np.zeros(1 << 16, bool)
-        self.wanted[(self.known >> U64(48)).astype(np.int64)] = True
-        self.ids = np.full((len(self.known), len(LEVELS)), -1, np.int64)
-        for k, (at, (_, level)) in enumerate(zip(np.searchsorted(self.known, hashes), terms)):
-            self.ids[at, LEVELS.index(level)] = k
-        self.size = len(terms)
-
-    def terms(self, s) -> tuple[np.ndarray, np.ndarray]:
-        """(row, term number) pairs of a slice, sorted."""
+    """Sorted feature hashes; a term is a place among them."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.size = known, len(known)
+        self._at: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_at": None}
+
+    def find(self, f: np.ndarray) -> np.ndarray:
+        """The term of each hash, -1 where there is none: by its top 22 bits, then onward."""
+        if self._at is None:
+            self._at = np.searchsorted(self.known >> U64(42), np.arange((1 << 22) + 1, dtype=U64)).astype(np.int32)
+        top = (f >> U64(42)).astype(np.int64)
+        at, end = self._at[top], self._at[top + 1]
+        out = np.full(len(f), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.known[at[left]] == f[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+    def terms(self, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of a slice, sorted."""
         if not self.size:
             none = np.empty(0, np.int64)
-            return none, none
-        r, f, n = features(s, self.wanted, self.known)
-        at = np.searchsorted(self.known, f)
-        rows, terms = [], []
-        for k, level in enumerate(LEVELS):
-            term = self.ids[at, k]
-            ok = (term >= 0) & (n >= level)
-            rows.append(r[ok])
-            terms.append(term[ok])
-        r, t = np.concatenate(rows), np.concatenate(terms)
-        order = np.lexsort((t, r))
-        return r[order], t[order]
+            return none, none, none
+        keys = []
+        for r, f in occurrences(s):
+            t = self.find(f)
+            ok = t >= 0
+            keys.append(r[ok] * self.size + t[ok])
+        key = np.sort(np.concatenate(keys))
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        r, t = np.divmod(key[at], self.size)
+        return r, t, np.diff(np.append(at, len(key)))
+
+
+def damped(n: np.ndarray) -> np.ndarray:
+    return 1 + np.log(n)
+
+
+def digest(t: np.ndarray, n: np.ndarray) -> bytes:
+    return blake2b(t.astype(np.int64).tobytes() + n.astype(np.int64).tobytes(), digest_size=16).digest()
+
+
+def vectors_of(vocabulary: Vocabulary, s) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(digest, terms, tf) of each row of a slice; the digest of an empty one is empty."""
+    r, t, n = vocabulary.terms(s)
+    at = np.searchsorted(r, np.arange(len(s.rows) + 1)).tolist()
+    return [(digest(t[a:b], n[a:b]) if b > a else b"", t[a:b], damped(n[a:b])) for a, b in zip(at, at[1:])]
 
 
 class Index:
     """Classes of examples in blocks, with the greatest weight of each term a block."""
 
-    def __init__(self, vectors: list[tuple[int, ...]], positive: np.ndarray, total: np.ndarray, idf: np.ndarray, example: list[int]):
+    def __init__(self, vectors: list, positive: np.ndarray, total: np.ndarray, idf: np.ndarray, example: list, tf: list | None = None):
         self.idf = idf
-        self.vectors, self.positive, self.total, self.example = vectors, positive.astype(float), total.astype(float), example
-        n = len(vectors)
+        self.positive, self.total, self.example = positive.astype(float), total.astype(float), example
+        n = self.n = len(vectors)
         self.blocks = -(-n // BLOCK)
-        owner = np.repeat(np.arange(n), [len(v) for v in vectors]) if n else np.empty(0, np.int64)
-        term = np.array([t for v in vectors for t in v], np.int64)
-        norm = np.sqrt(np.bincount(owner, weights=idf[term] ** 2, minlength=n)) if n else np.empty(0)
-        weight = idf[term] / norm[owner] if n else np.empty(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        #: postings of a term and block: ptr[term * blocks + block] to the next
-        cell = term[order] * self.blocks + self.owner // BLOCK
-        self.ptr = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1)) if n else np.zeros(1, np.int64)
-        top = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(top, cell, self.weight)
-        self.top = top.reshape(len(idf), self.blocks) if n else np.zeros((len(idf), 0))
-
-    def nearest(self, terms: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        term = np.concatenate([np.asarray(v, np.int32) for v in vectors]) if n else np.empty(0, np.int32)
+        self.levels, code = np.unique(np.concatenate(tf), return_inverse=True) if tf and n else (np.ones(1), np.zeros(len(term), np.int64))
+        owner = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), [len(v) for v in vectors]) if n else np.empty(0, np.uint8)
+        self.held = np.bincount(term, minlength=len(idf)).astype(np.int32)
+        order = np.argsort(term, kind="stable")
+        self.postings = owner[order], code.astype(np.min_scalar_type(len(self.levels)))[order]
+        self._matrix: np.ndarray | None = None
+
+    def __getstate__(self):
+        """What is sent: postings as (owner, code of tf); the rest is made where it is used."""
+        return {k: self.__dict__[k] for k in ("idf", "positive", "total", "example", "n", "blocks", "levels", "held", "postings")} | {"_matrix": None}
+
+    def prepare(self) -> None:
+        """Weights, the dense matrix and the cells of the other terms."""
+        if self._matrix is not None:
+            return
+        owner, term = self.postings[0].astype(np.int32), np.repeat(np.arange(len(self.idf), dtype=np.int32), self.held)
+        weight = self.idf[term] * self.levels[self.postings[1]]
+        weight = weight / np.sqrt(np.bincount(owner, weights=weight**2, minlength=self.n))[owner]
+        often = np.argsort(-self.held, kind="stable")[:DENSE]
+        often = np.sort(often[self.held[often] > max(BLOCK, self.n // 32)])
+        #: row of the dense matrix, or -1
+        self.place = np.full(len(self.idf), -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        dense = self.place[term] >= 0
+        matrix = np.zeros((len(often), self.n))
+        matrix[self.place[term[dense]], owner[dense]] = weight[dense]
+        self.owner, self.weight, term = owner[~dense], weight[~dense], term[~dense]
+        #: cells: the postings of one term and block
+        cell = term.astype(np.int64) * max(self.blocks, 1) + self.owner // BLOCK
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        self.block = self.owner[first] // BLOCK
+        self.first = np.append(first, len(cell))
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.cells = np.searchsorted(term[first], np.arange(len(self.idf) + 1))
+        self._matrix = matrix
+
+    def unit(self, terms: np.ndarray, tf: np.ndarray | None = None) -> np.ndarray:
+        q = self.idf[terms] if tf is None else self.idf[terms] * tf
+        return q / np.sqrt((q**2).sum())
+
+    def dense_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, classes): what the terms of the dense matrix add to each cosine."""
+        self.prepare()
+        q = np.zeros((len(queries), len(self._matrix)))
+        for k, (terms, value) in enumerate(queries):
+            place = self.place[terms]
+            q[k, place[place >= 0]] = value[place >= 0]
+        return q @ self._matrix
+
+    def nearest(self, terms: np.ndarray, k: int, without: int = -1, tf: np.ndarray | None = None, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, cosine, examples) of the classes that hold the k nearest
         examples, ties included, nearest first; one example of the class
-        ``without`` doesn't count."""
-        q = self.idf[terms]
-        q = q / np.sqrt((q**2).sum())
-        bound = q @ self.top[terms]
+        ``without`` doesn't count. ``base`` is the query's dense part."""
+        self.prepare()
+        q = self.unit(terms, tf)
+        if base is None:
+            base = self.dense_part([(terms, q)])[0]
+        size = self.cells[terms + 1] - self.cells[terms]
+        cells, q = _ranges(self.cells[terms], size), np.repeat(q, size)
+        block = self.block[cells]
+        bound = np.bincount(block, weights=q * self.top[cells], minlength=self.blocks)
+        if self.n:
+            bound = bound + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
         order = np.argsort(-bound, kind="stable")
         classes, scores = np.empty(0, np.int64), np.empty(0)
-        floor, ptr, blocks = 0.0, self.ptr, self.blocks
-        for b in order.tolist():
-            if bound[b] <= 0 or bound[b] < floor - 1e-9:
+        floor, at, step = 0.0, 0, 4
+        while at < len(order):
+            now = order[at : at + step]
+            now = now[(bound[now] > 0) & (bound[now] >= floor - 1e-9)]
+            if not len(now):
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), q.tolist()):
-                lo, hi = ptr[t * blocks + b], ptr[t * blocks + b + 1]
-                if hi > lo:
-                    sums[self.owner[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            here = np.flatnonzero((sums > 0) & (sums >= floor - 1e-9))
-            if not len(here):
-                continue
-            classes = np.concatenate([classes, here + b * BLOCK])
+            at, step = at + step, 4 * step
+            visit = np.zeros(self.blocks, bool)
+            visit[now] = True
+            s = np.flatnonzero(visit[block])
+            c = cells[s]
+            many = self.first[c + 1] - self.first[c]
+            p = _ranges(self.first[c], many)
+            sums = np.bincount(self.owner[p], weights=np.repeat(q[s], many) * self.weight[p], minlength=self.n) + base
+            here = np.flatnonzero((sums > 0) & (sums >= floor - 1e-9) & np.repeat(visit, BLOCK)[: self.n])
+            if len(here) > k + 1:
+                # k + 1 classes hold k examples besides the one that doesn't count
+                least = np.partition(sums[here], len(here) - k - 1)[len(here) - k - 1]
+                here = here[sums[here] >= least - 2e-9]
+            classes = np.concatenate([classes, here])
             scores = np.concatenate([scores, np.round(sums[here], 9)])
             rank = np.lexsort((classes, -scores))
             classes, scores = classes[rank], scores[rank]
@@ -165,35 +249,41 @@ class Index:
 
 
 class Model:
-    """Vocabulary, index and calibration; small, bounded, sent to the workers."""
+    """Vocabulary and index, broadcast to the workers, and calibration; bounded."""
 
-    def __init__(self, vocabulary: Vocabulary, index: Index, none_rate: float, k: int):
-        self.vocabulary, self.index, self.none_rate, self.k = vocabulary, index, none_rate, k
+    def __init__(self, shared, none_rate: float, k: int):
+        self.shared, self.none_rate, self.k = shared, none_rate, k
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
-        self._seen: dict[tuple[int, ...], tuple[float, list[int]]] = {}
+        self._seen: dict[bytes, tuple[float, list]] = {}
 
-    def raw(self, terms: np.ndarray, without: int = -1) -> tuple[float, list[int]]:
-        classes, cosine, held = self.index.nearest(terms, self.k, without)
-        positive = self.index.positive[classes]
+    def raw(self, index: Index, terms: np.ndarray, tf: np.ndarray, without: int = -1, base: np.ndarray | None = None) -> tuple[float, list]:
+        classes, cosine, held = index.nearest(terms, self.k, without, tf, base)
+        positive = index.positive[classes]
         if without >= 0:
-            positive = positive - (classes == without) * (self.index.positive[without] / self.index.total[without])
+            positive = positive - (classes == without) * (index.positive[without] / index.total[without])
         weight = 1 / (1.02 - np.minimum(cosine, 1))
         score = (weight @ positive + 0.5 * self.none_rate) / (weight @ held + 0.5)
-        return float(score), [self.index.example[c] for c in classes[:3].tolist()]
-
-    def calibrate(self) -> None:
+        return float(score), [index.example[c] for c in classes[:3].tolist()]
+
+    def raws(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, list]]:
+        """Raw score and evidence of (terms, tf) texts, none of them empty."""
+        index, out = self.shared.value[1], []
+        for a in range(0, len(texts), BATCH):
+            part = texts[a : a + BATCH]
+            base = index.dense_part([(t, index.unit(t, tf)) for t, tf in part])
+            out += [self.raw(index, t, tf, without[a + k] if without else -1, base[k]) for k, (t, tf) in enumerate(part)]
+        return out
+
+    def calibrate(self, raw: np.ndarray) -> None:
         """Isotonic map from leave-one-out raw scores to rates, pool-adjacent-violators."""
-        n = len(self.index.vectors)
-        if not n:
-            return
-        raw = np.array([self.raw(np.array(v), c)[0] for c, v in enumerate(self.index.vectors)])
+        index = self.shared.value[1]
         order = np.argsort(raw, kind="stable")
-        least = min(20.0, max(1.0, self.index.total.sum() / 20))
+        least = min(20.0, max(1.0, index.total.sum() / 20))
         groups: list[list[float]] = []  # positives, total, sum of raw
         for c in order.tolist():
             if not groups or groups[-1][1] >= least:
                 groups.append([0.0, 0.0, 0.0])
-            for k, x in enumerate((self.index.positive[c], self.index.total[c], raw[c] * self.index.total[c])):
+            for k, x in enumerate((index.positive[c], index.total[c], raw[c] * index.total[c])):
                 groups[-1][k] += x
         pools: list[list[float]] = []
         for g in groups:
@@ -205,18 +295,17 @@ class Model:
         y = np.array([(p[0] + self.none_rate) / (p[1] + 1) for p in pools])
         self.knots = (x, np.maximum.accumulate(y))
 
-    def score(self, terms: np.ndarray) -> tuple[float, list[int]]:
-        if not len(terms):
-            return self.none_rate, []
-        key = tuple(terms.tolist())
-        found = self._seen.get(key)
-        if found is None:
-            raw, evidence = self.raw(terms)
+    def score(self, s) -> list[tuple[float, list]]:
+        """(score, evidence) of each row of a slice; equal vectors are scored once."""
+        rows = vectors_of(self.shared.value[0], s)
+        if len(self._seen) > 50_000:
+            self._seen.clear()
+        new = {key: (t, tf) for key, t, tf in rows if key and key not in self._seen}
+        found = self.raws(list(new.values()))
+        for key, (raw, evidence) in zip(new, found):
             value = float(np.interp(raw, *self.knots)) if self.knots is not None else raw
-            if len(self._seen) > 50_000:
-                self._seen.clear()
-            found = self._seen[key] = (min(1.0, max(0.0, value)), evidence)
-        return found
+            self._seen[key] = (min(1.0, max(0.0, value)), evidence)
+        return [self._seen[key] if key else (self.none_rate, []) for key, _, _ in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -243,66 +332,92 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     single = sampled.groupBy("y", "sketch").agg(F.min("id").alias("id"))
     examples = scratch.keep(sampled.join(F.broadcast(single), ["y", "sketch", "id"], "left_semi").dropDuplicates(["id"]).select("id", "text", "y"), "examples")
 
-    def count(batches):
+    def vectors(batches):
         for batch in batches:
-            y = batch.column(2).to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
                 r, f, n = features(s)
-                label = y[s.rows.start : s.rows.stop] > 0
-                for level in LEVELS:
-                    ok = n >= level
-                    u, inverse = np.unique(f[ok], return_inverse=True)
-                    total = np.bincount(inverse, minlength=len(u))
-                    positive = np.bincount(inverse, weights=label[r[ok]], minlength=len(u)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), level, np.int32)), pa.array(positive), pa.array(total)], names=["feature", "level", "pos", "n"])
-
-    seen = examples.groupBy("y").count().collect()
-    sizes = {r["y"] > 0: r["count"] for r in seen}
-    n_pos, n_neg = sum(r["count"] for r in seen if r["y"] > 0), sum(r["count"] for r in seen if r["y"] <= 0)
-    rate = (n_pos + 1) / (n_pos + n_neg + 2)
-    chosen: list[tuple[int, int]] = []
-    if len(sizes) == 2:
-        stats = examples.select("id", "text", "y").mapInArrow(count, "feature bigint, level int, pos bigint, n bigint").groupBy("feature", "level").agg(F.sum("pos").alias("a"), F.sum("n").alias("n"))
-        a, n, big = F.col("a").cast("double"), F.col("n").cast("double"), float(n_pos + n_neg)
-        chi2 = big * F.pow(a * (n_neg - (n - a)) - (n - a) * (n_pos - a), F.lit(2.0)) / (n * (big - n) * float(n_pos) * float(n_neg))
-        picked = stats.where((F.col("n") >= MIN_DF) & (F.col("n") < n_pos + n_neg)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-        chosen = [(r["feature"], r["level"]) for r in picked.orderBy(F.desc("chi2"), "feature", "level").limit(MAX_TERMS).select("feature", "level").collect()]
-    vocabulary = Vocabulary(chosen)
+                cut = pa.array(np.searchsorted(r, np.arange(len(s.rows) + 1)), pa.int32())
+                part = slice(s.rows.start, s.rows.stop)
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (f.view(np.int64), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(2)[part], *lists], names=["id", "y", "f", "n"])
+
+    # bounded: the examples are
+    rows = examples.select("id", "text", "y").mapInArrow(vectors, f"id {kind}, y int, f array<bigint>, n array<int>").toArrow().combine_chunks()
+    ids, toxic = rows.column("id").to_pylist(), rows.column("y").to_numpy() > 0
+    n_pos, big = float(toxic.sum()), float(len(ids))
+    rate = (n_pos + 1) / (big + 2)
+    spark = docs.sparkSession
+    if not 0 < n_pos < big:
+        scratch.drop()
+        return Model(spark.sparkContext.broadcast((Vocabulary(np.empty(0, U64)), None)), rate, neighbours)
+    lists, counts = rows.column("f").combine_chunks(), rows.column("n").combine_chunks().flatten().to_numpy()
+    sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(U64)
+    del rows, lists
+    known = np.unique(flat)
+    term = np.searchsorted(known, flat).astype(np.int32)
+    del flat
+    vocabulary = Vocabulary(known)
+    n, a = np.bincount(term, minlength=len(known)).astype(float), np.bincount(term, weights=np.repeat(toxic, sizes), minlength=len(known))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        told = (a * big - n * n_pos) ** 2 / (n * (big - n) * n_pos * (big - n_pos))
+    told = np.where(n < big, told, 0.0)
+    sign = (told * big >= SIGN) & (a * big > n * n_pos)
+    signs = np.bincount(np.repeat(np.arange(len(ids)), sizes), weights=sign[term], minlength=len(ids))
+    none = [int((toxic & (signs == 0)).sum()), int((signs == 0).sum())]
+    chunks, scanned = -(-len(known) // CHUNK), spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
-        df, rows = np.zeros(vocabulary.size, np.int64), 0
+        words_ = scanned.value
+        df, seen = np.zeros(chunks * CHUNK, np.int64), 0
         for batch in batches:
-            rows += batch.num_rows
+            seen += batch.num_rows
             for s in slices(batch.column(0)):
-                df += np.bincount(vocabulary.terms(s)[1], minlength=vocabulary.size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, vocabulary.size)), pa.array(np.append(rows, df))], names=["term", "n"])
+                df += np.bincount(words_.terms(s)[1], minlength=len(df))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, chunks)), pa.array([np.array([seen]).tobytes(), *[x.tobytes() for x in df.reshape(chunks, CHUNK)]], pa.binary())], names=["chunk", "n"])
 
-    # the vocabulary is bounded, hence so is what comes back
-    counted = base.select("text").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect() if chosen else []
-    df = {r["term"]: r["n"] for r in counted}
-    idf = np.array([np.log((df.get(-1, 0) + 1) / (df.get(t, 0) + 1)) + 1 for t in range(vocabulary.size)])
-
-    def vectors(batches):
-        for batch in batches:
-            for s in slices(batch.column(1)):
-                r, t = vocabulary.terms(s)
-                at = np.searchsorted(r, np.arange(len(s.rows) + 1))
-                part = slice(s.rows.start, s.rows.stop)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(t.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], lists, batch.column(2)[part]], names=["id", "terms", "y"])
+    def added(found):
+        sums = sum(np.frombuffer(x, np.int64) for x in found.column("n").to_pylist())
+        return pa.table({"chunk": found.column("chunk")[:1], "n": pa.array([sums.tobytes()], pa.binary())})
 
-    groups: dict[tuple[int, ...], list] = {}
-    for r in examples.select("id", "text", "y").mapInArrow(vectors, f"id {kind}, terms array<int>, y int").collect() if chosen else []:
-        g = groups.setdefault(tuple(r["terms"]), [0, 0, r["id"]])
-        g[0] += r["y"] > 0
+    # the vocabulary is bounded, hence so is what comes back
+    counted = base.select("text").mapInArrow(frequencies, "chunk bigint, n binary").groupBy("chunk").applyInArrow(added, "chunk bigint, n binary").collect()
+    df = {r["chunk"]: np.frombuffer(r["n"], np.int64) for r in counted}
+    idf = np.log((df[-1][0] + 1) / (np.concatenate([df[k] for k in range(chunks)])[: len(known)] + 1)) + 1
+    weight = idf * (1 + TELLING * told)
+    scanned.destroy()
+    del counted
+
+    cut = np.append(0, np.cumsum(sizes))
+    groups: dict[bytes, list] = {}
+    for k in sorted(range(len(ids)), key=ids.__getitem__):
+        t, c = term[cut[k] : cut[k + 1]], counts[cut[k] : cut[k + 1]]
+        if not len(t):
+            continue
+        order = np.argsort(t)
+        t, c = t[order], c[order]
+        g = groups.setdefault(digest(t, c), [0, 0, ids[k], t, c])
+        g[0] += int(toxic[k])
         g[1] += 1
-        g[2] = min(g[2], r["id"])
-    none = groups.pop((), [0, 0, None])
-    # neighbours in the order of their rarest terms share blocks, which keeps bounds tight
-    ordered = sorted(groups, key=lambda v: (sorted(v, key=lambda t: (-idf[t], t)), v))
-    index = Index(ordered, np.array([groups[v][0] for v in ordered]), np.array([groups[v][1] for v in ordered]), idf, [groups[v][2] for v in ordered])
-    model = Model(vocabulary, index, (none[0] + rate) / (none[1] + 1) if chosen else rate, neighbours)
-    model.calibrate()
+    # classes in the order of their weightiest terms share blocks, which keeps bounds tight
+    heaviest = {key: g[3][np.argsort(-weight[g[3]] * damped(g[4]), kind="stable")[:3]].tolist() for key, g in groups.items()}
+    ordered_keys = sorted(groups, key=lambda key: (heaviest[key], key))
+    ordered = [groups[key] for key in ordered_keys]
+    del term, counts, groups
+    index = Index([g[3] for g in ordered], np.array([g[0] for g in ordered]), np.array([g[1] for g in ordered]), weight, [g[2] for g in ordered], [damped(g[4]) for g in ordered])
+    model = Model(spark.sparkContext.broadcast((vocabulary, index)), (none[0] + rate) / (none[1] + 1), neighbours)
+    place = {key: c for c, key in enumerate(ordered_keys)}
+
+    def left_out(batches):
+        for batch in batches:
+            for s in slices(batch.column(0)):
+                found = [(place[key], t, tf) for key, t, tf in vectors_of(model.shared.value[0], s) if key]
+                raw = model.raws([(t, tf) for _, t, tf in found], [c for c, _, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in found], pa.int64()), pa.array([x for x, _ in raw], pa.float64())], names=["c", "raw"])
+
+    raw = np.zeros(len(ordered))
+    for r in examples.select("text").mapInArrow(left_out, "c bigint, raw double").collect():
+        raw[r["c"]] = r["raw"]
+    model.calibrate(raw)
     scratch.drop()
     return model
 
@@ -315,9 +430,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for batch in batches:
             for s in slices(batch.column(1)):
-                r, t = model.vocabulary.terms(s)
-                at = np.searchsorted(r, np.arange(len(s.rows) + 1)).tolist()
-                found = [model.score(t[a:b]) for a, b in zip(at, at[1:])]
+                found = model.score(s)
                 value = np.array([x for x, _ in found])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(s.rows.start, len(s.rows)), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array([e for _, e in found], pa.list_(batch.column(0).type))],
@@ -336,9 +449,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             keep = []
             for s in slices(batch.column(at)):
-                r, t = model.vocabulary.terms(s)
-                cut = np.searchsorted(r, np.arange(len(s.rows) + 1)).tolist()
-                keep += [model.score(t[a:b])[0] < 0.5 for a, b in zip(cut, cut[1:])]
+                keep += [value < 0.5 for value, _ in model.score(s)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

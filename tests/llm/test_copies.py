@@ -275,6 +275,35 @@ def test_nearest_examples_are_exact():
         assert set(classes.tolist()) == want and held.sum() == n[list(want)].sum()
 
 
+def test_texts_meet_examples_by_any_word(spark):
+    # "zebra" is in two examples and tells nothing of the label
+    texts = [(k, prose(k, 30) + (" idiot" if k % 4 == 0 else "")) for k in range(200)] + [(200, "zebra zebra zebra quagga"), (201, "zebra quagga quagga"), (202, "zebra zebra zebra quagga")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.where("doc_id < 202").selectExpr("doc_id", "int(doc_id % 4 = 0 and doc_id < 200) as toxic"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert got[202]["evidence"][:2] == [200, 201] and got[202]["predicted"] == 0
+
+
+def test_nearest_examples_are_exact_by_counts():
+    r = np.random.default_rng(4)
+    idf = 1 + r.random(3000)
+    chance = 1 / np.arange(1, 3001)
+    vecs = [np.sort(r.choice(3000, 60, replace=False, p=chance / chance.sum())) for _ in range(700)]
+    tf = [1 + np.log(r.integers(1, 9, 60)) for _ in vecs]
+    index = toxicity.Index(vecs, np.zeros(700), np.ones(700), idf, list(range(700)), tf)
+    index.prepare()
+    assert 0 < (index.place >= 0).sum() < 3000 and len(index.owner)
+    full = np.zeros((700, 3000))
+    for k, (v, c) in enumerate(zip(vecs, tf)):
+        full[k, v] = idf[v] * c
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    for k in range(0, 700, 23):
+        classes, cosine, _ = index.nearest(vecs[k], 25, k, tf[k])
+        want = np.round(full @ full[k], 9)
+        want[k] = 2
+        assert np.allclose(cosine[cosine < 1 - 1e-8], np.sort(want)[::-1][1:26], atol=2e-9) and k in classes
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -8,8 +8,10 @@ compared with each other, blocks over ``BLOCK`` being dealt out further by hash.
 Then, each round, every node gathers the neighbours it has and the nodes that
 have it (``IN_EDGES`` of each node's in-edges are drawn anew, so a hub gathers
 and is gathered a bounded number of times, as NN-descent samples reverse
-neighbours), compares them among themselves and offers each its best new ones:
-joins of neighbours of neighbours. A node keeps the ``DEGREE`` nearest.
+neighbours), compares them among themselves and offers each all that are nearer
+than the last of its list, as many as a list holds: joins of neighbours of
+neighbours. A node keeps the ``DEGREE`` nearest. Rounds end when one changes at
+most ``SETTLED`` of all edges; lists only ever improve, so they do end.
 
 A query walks the graph from its own node: it expands the nearest nodes not yet
 expanded, keeps the ``BEAM`` nearest found, and ends when all of these are
@@ -40,12 +42,12 @@ from .common import Scratch, drawn
 
 DEGREE = 32
 IN_EDGES = 40
-ROUNDS = 4
+#: NN-descent ends when a round changes at most this share of the edges.
+SETTLED = 0.001
 TREES = 3
 BLOCK = 1000
 #: Vectors of which the hyperplanes' medians are taken: a bounded sample.
 SAMPLE = 8192
-OFFERS = 4
 BEAM = 256
 EXPAND = 64
 
@@ -176,7 +178,8 @@ def _local_join(graph: DataFrame, nodes: DataFrame, degree: int, salt: int) -> D
                 x = v[at]
                 d = n[at][:, None] + n[at][None] - 2 * (x @ x.T)
                 np.fill_diagonal(d, np.inf)
-                k = min(OFFERS, len(ids) - 1)
+                # a list holds ``degree``, so offers beyond as many are of no use
+                k = min(degree, len(ids) - 1)
                 best = np.argpartition(d, k - 1, axis=1)[:, :k]
                 dist = np.maximum(np.take_along_axis(d, best, 1), 0)
                 i, j = np.nonzero(dist < reach[at][:, None])
@@ -207,17 +210,21 @@ def vectors(table: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec_col:
     return nodes, nodes.count(), dim
 
 
-def build(nodes: DataFrame, count: int, dim: int, scratch: Scratch, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (u, ws, ds), nearest first, after ``rounds`` of NN-descent."""
+def build(nodes: DataFrame, count: int, dim: int, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
+    """The neighbour graph (u, ws, ds), nearest first, once NN-descent has settled."""
     graph = scratch.keep(_merge(_first_graph(nodes, count, dim, degree), degree), "graph")
     if count <= BLOCK:
         return graph  # one block compared everything
-    for k in range(rounds):
+    k = 0
+    while True:
         own = graph.select("u", F.explode(F.arrays_zip("ws", "ds")).alias("e")).select("u", F.col("e.ws").alias("w"), F.col("e.ds").alias("d"))
         after = scratch.keep(_merge(own.union(_local_join(graph, nodes, degree, k)), degree), "graph")
+        both = after.join(graph.select("u", F.col("ws").alias("had")), "u", "left")
+        r = both.agg(F.sum(F.size(F.array_except("ws", F.coalesce("had", F.array().cast("array<bigint>"))))).alias("new"), F.sum(F.size("ws")).alias("all")).first()
         scratch.drop(graph)
-        graph = after
-    return graph
+        graph, k = after, k + 1
+        if r["new"] <= settled * r["all"]:
+            return graph
 
 
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, scratch: Scratch, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
@@ -258,14 +265,14 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, scratch: Scra
         state = after
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None, degree: int = DEGREE, rounds: int = ROUNDS, beam: int = BEAM) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None, degree: int = DEGREE, settled: float = SETTLED, beam: int = BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest
     found to every row for which ``is_query`` (on the id column) holds."""
     scratch = scratch or Scratch(table.sparkSession, "ann")
     nodes, count, dim = vectors(table, scratch, id_col, vec_col)
     if not count:
         return table.sparkSession.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
-    graph = build(nodes, count, dim, scratch, max(degree, k), rounds)
+    graph = build(nodes, count, dim, scratch, max(degree, k), settled)
     queries = nodes.select(F.col("id").alias(id_col)).where(is_query).select(F.col(id_col).alias("q"))
     found = scratch.keep(search(nodes, graph, queries, scratch, max(beam, k)).select("q", F.explode("ids").alias("c")), "found")
     both = found.join(nodes.select(F.col("id").alias("q"), F.col("v").alias("vq")), "q").join(nodes.select(F.col("id").alias("c"), F.col("v").alias("vc")), "c")

@@ -187,6 +187,20 @@ def test_neighbours(spark):
     assert hits >= 0.95 * 10 * len(by)
 
 
+def test_graph_settles(spark):
+    m = np.random.default_rng(8).normal(size=(5000, 48))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    nodes, count, dim = ann.vectors(df, scratch)
+    graph = {r["u"]: r["ws"] for r in ann.build(nodes, count, dim, scratch).collect()}
+    hits = 0
+    for q in range(0, 5000, 50):
+        d = ((m - m[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:32].tolist()) & set(graph[q]))
+    assert hits >= 0.97 * 32 * 100, hits
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame(vectors()[:4], VECTORS)
     got = ann.nearest(df, F.col("vec_id") >= 0).collect()

@@ -74,7 +74,7 @@ def gotcha(text: Column) -> Column:
     t, low = F.trim(text), F.lower(text)
     head = F.lower(t)
     has = lambda *words: F.lit(False) if not words else low.contains(words[0]) | (has(*words[1:]) if len(words) > 1 else F.lit(False))
-    after = lambda n: F.trim(F.substring(t, n + 1, 100_000))
+    after = lambda n: F.trim(F.substring(t, n + 1, F.length(t)))
     must = (
         F.when(head.startswith("must "), after(5))
         .when(head.startswith("always "), after(7))

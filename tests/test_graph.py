@@ -257,3 +257,11 @@ def test_renderers(spark):
     assert "# Relevant Context" in render.budgeted(g, nodes, edges, 10_000)
     with pytest.raises(Exception):
         render.format_name("pdf")
+
+
+def test_long_gotchas_stay_whole(spark):
+    from terrane.operators.instructions import gotcha
+
+    text = "must " + "x" * 150_000
+    got = spark.createDataFrame([(text,)], "t string").select(gotcha(F.col("t")).alias("g")).first()["g"]
+    assert got == "MUST " + "x" * 150_000

@@ -3,7 +3,7 @@ vectorised scanning of Arrow string columns.
 
 Scanning works on the raw UTF-8 buffer of a column: a slice of about
 ``SLICE_BYTES`` is classified byte by byte with lookup tables, cut into words,
-and every word gets a 64-bit hash from prefix sums, all in numpy. No Python
+and every word gets a 64-bit hash from its bytes, all in numpy. No Python
 object is made per word.
 """
 
@@ -14,6 +14,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-# --------------------------------------------------------------------- tables
+# ------------- tables
 
 
 class Scratch:
@@ -87,7 +88,7 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-# ------------------------------------------------------------------- scanning
+# ------------- scanning
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,31 +101,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Spans beyond this many bytes are hashed one by one.
+LONG = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        made = []
-        for base in (_MULT, pow(_MULT, -1, 1 << 64)):
-            p = np.full(size, base, dtype=U64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=U64))
-        if size > 8 * SLICE_BYTES:  # an extreme text: don't hold on to its tables
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At each place, the eight bytes from there on as one number."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span ``data[start:end]``; equal bytes, equal hash."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], dtype=U64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A 64-bit hash of each byte span ``data[start:end]``; equal bytes, equal hash.
+
+    Eight bytes at a time go through a bijection, so spans of one size up to
+    eight bytes never collide; spans over ``LONG`` bytes take blake2b."""
+    size, eight = ends - starts, _eights(data)
+    h = mix((eight[starts] & _LOW[np.minimum(size, 8)]) ^ mix(size.astype(U64) + U64(_MULT)))
+    left = np.flatnonzero(size > 8)
+    for i in left[size[left] > LONG].tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    left = left[size[left] <= LONG]
+    at, n = starts[left] + 8, size[left] - 8
+    while len(left):
+        h[left] = mix(h[left] * U64(_MULT) + (eight[at] & _LOW[np.minimum(n, 8)]))
+        on = n > 8
+        left, at, n = left[on], at[on] + 8, n[on] - 8
+    return h
+
+
+def same_spans(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> bool:
+    """All spans ``a[a0:a1]`` hold the bytes of their partners ``b[b0:b1]``."""
+    size = a1 - a0
+    if (size != b1 - b0).any():
+        return False
+    long = np.flatnonzero(size > LONG)
+    if any(not np.array_equal(a[a0[i] : a1[i]], b[b0[i] : b1[i]]) for i in long.tolist()):
+        return False
+    x, y = _eights(a), _eights(b)
+    left = np.flatnonzero(size <= LONG)
+    p, q, n = a0[left], b0[left], size[left]
+    while len(n):
+        if ((x[p] ^ y[q]) & _LOW[np.minimum(n, 8)]).any():
+            return False
+        on = n > 8
+        p, q, n = p[on] + 8, q[on] + 8, n[on] - 8
+    return True
 
 
 class Slice:
@@ -198,7 +220,7 @@ def rows_of(s: Slice, starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(s.rows)), np.diff(np.searchsorted(starts, s.bounds)))
 
 
-# --------------------------------------------------- splitting as tokenizers do
+# ------------- splitting as tokenizers do
 
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 
@@ -301,50 +323,68 @@ def pretokens(s: Slice, marked: bytes, fold: bool) -> tuple[np.ndarray, np.ndarr
 
 
 class TokenCache:
-    """Ids of distinct pretokens, found by hash; bounded, so it may be emptied."""
+    """Ids of distinct pretokens, found by hash and held against their bytes;
+    bounded, so it may be emptied."""
 
-    def __init__(self, encode, most: int = 1_500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 1_500_000, most_bytes: int = 64 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.empty(0, U64)
-        self.ptr = np.empty(0, np.int64)
-        self.len = np.empty(0, np.int64)
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
+        #: place and length of each key's ids in ``flat``, and of its bytes in ``raw``
+        self.at = np.empty((4, 0), np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.raw, self.filled = np.empty(1 << 18, np.uint8), 0
+
+    @staticmethod
+    def _with(store: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        if used + len(more) > len(store):
+            grown = np.empty(max(2 * len(store), used + len(more)), store.dtype)
+            grown[:used] = store[:used]
+            store = grown
+        store[used : used + len(more)] = more
+        return store
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens one after another, and how many each token has."""
         if not len(starts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         uniq, where, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(uniq) > self.most and len(self.keys):
+        lo, hi = starts[where], ends[where]
+        if len(self.keys) and (len(self.keys) + len(uniq) > self.most or self.filled + int((hi - lo).sum()) > self.most_bytes):
             self._clear()
         at = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == uniq[inside]
-        if not known.all():
+        old = np.flatnonzero(known)
+        of = self.at[:, at[old]]
+        if not same_spans(data, starts, ends, data, lo[inverse], hi[inverse]) or not same_spans(data, lo[old], hi[old], self.raw, of[2], of[2] + of[3]):
+            return self._by_bytes(data, starts, ends)
+        if len(old) < len(uniq):
             new = np.flatnonzero(~known)
-            lo, hi = starts[where[new]].tolist(), ends[where[new]].tolist()
-            raw = data.tobytes()
-            made = self.encode([raw[a:b] for a, b in zip(lo, hi)])
+            a, b = lo[new], hi[new]
+            text = data.tobytes()
+            made = self.encode([text[x:y] for x, y in zip(a.tolist(), b.tolist())])
             size = np.fromiter(map(len, made), np.int64, len(made))
-            total = int(size.sum())
-            if self.used + total > len(self.flat):
-                grown = np.empty(max(2 * len(self.flat), self.used + total), np.uint32)
-                grown[: self.used] = self.flat[: self.used]
-                self.flat = grown
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in made for i in ids), np.uint32, total)
-            ptr = self.used + np.cumsum(size) - size
-            self.used += total
-            self.keys = np.insert(self.keys, at[new], uniq[new])
-            self.ptr = np.insert(self.ptr, at[new], ptr)
-            self.len = np.insert(self.len, at[new], size)
+            held = np.stack([self.used + np.cumsum(size) - size, size, self.filled + np.cumsum(b - a) - (b - a), b - a])
+            self.flat = self._with(self.flat, self.used, np.fromiter((i for ids in made for i in ids), np.uint32, int(size.sum())))
+            self.raw = self._with(self.raw, self.filled, gather(data, a, b - a))
+            self.used, self.filled = self.used + int(size.sum()), self.filled + int((b - a).sum())
+            self.keys, self.at = np.insert(self.keys, at[new], uniq[new]), np.insert(self.at, at[new], held, axis=1)
             at = np.searchsorted(self.keys, uniq)
         at = at[inverse]
-        return gather(self.flat, self.ptr[at], self.len[at]), self.len[at]
+        return gather(self.flat, self.at[0, at], self.at[1, at]), self.at[1, at]
+
+    def _by_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes, for a slice in which two tokens share one."""
+        text = data.tobytes()
+        tokens = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        distinct = list(dict.fromkeys(tokens))
+        made = {t: np.array(ids, np.uint32) for t, ids in zip(distinct, self.encode(distinct))}
+        found = [made[t] for t in tokens]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
 
 def gather(flat: np.ndarray, ptr: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Slice, _power_tables, mix, slices, words
+from .common import U64, Scratch, Slice, mix, slices, words
 from .graphs import marked, only_ids
 
 MIN_WORDS = 50
@@ -43,19 +43,34 @@ HEAD = 16
 _MOST = np.iinfo(U64).max
 
 
+_STEP = U64(0xD6E8FEB86659FD93)
+
+
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """From each place with ``n`` words to come, the hash of these words in
+    order: hashes of 1, 2, 4, ... words, each mixed of two halves, are joined."""
+    total = len(h) - n + 1
+    if total < 1:
+        return np.empty(0, U64)
+    out, done, size, level = None, 0, 1, h
+    while size <= n:
+        if n & size:
+            part = level[done : done + total]
+            out = part if out is None else mix(out * _STEP + part)
+            done += size
+        if 2 * size <= n:
+            level = mix(level[:-size] * _STEP + level[size:])
+        size *= 2
+    return out
+
+
 class Windows:
-    """Word hashes of a slice with constant-time hashes of any word span."""
+    """Word hashes of a slice and the hashes of its windows of ``min_words``."""
 
-    def __init__(self, s: Slice):
+    def __init__(self, s: Slice, min_words: int = 0):
         self.h, self.starts, self.ends, self.row = words(s)
-        n = len(self.h)
-        self.power, self.inverse = _power_tables(n + 1)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(self.h * self.power[:n], dtype=U64, out=self.sums[1:])
         self.first = np.searchsorted(self.row, np.arange(len(s.rows) + 1))
-
-    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.inverse[a])
+        self.full = runs(self.h, min_words) if min_words else None
 
     def anchors(self, min_words: int) -> tuple[np.ndarray, ...]:
         """(position, first and last window start, head hash, block hash) of
@@ -64,8 +79,9 @@ class Windows:
         none = np.empty(0, np.int64)
         if n < min_words:
             return none, none, none, none.astype(U64), none.astype(U64)
-        at = np.arange(n - HEAD + 1)
-        heads = self.span(at, at + HEAD)
+        heads = runs(self.h, HEAD)
+        if heads is self.h:
+            heads = heads.copy()
         heads[self.row[HEAD - 1 :] != self.row[: n - HEAD + 1]] = _MOST
         width = min_words - HEAD + 1
         least = np.lib.stride_tricks.sliding_window_view(heads, width).argmin(axis=1)
@@ -78,7 +94,8 @@ class Windows:
         lo = start[new]
         hi = start[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
         pos = pos[new]
-        block = mix(self.span(lo, hi + min_words) ^ mix((pos - lo).astype(U64) + (hi - lo).astype(U64) * U64(1 << 20)))
+        # the first and the last window overlap, hence hold all words of the block
+        block = mix(mix(self.full[lo] * _STEP + self.full[hi]) ^ mix((pos - lo).astype(U64) + (hi - lo).astype(U64) * U64(1 << 20)))
         return pos, lo, hi, heads[pos], block
 
 
@@ -93,7 +110,7 @@ def _suffixes(keyed: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for s in slices(batch.column(2)):
-                w = Windows(s)
+                w = Windows(s, min_words)
                 pos, lo, hi, head, block = w.anchors(min_words)
                 row = w.row[pos] if len(pos) else pos
                 first = w.first[row] if len(pos) else pos
@@ -115,7 +132,7 @@ def _window_rows(joined: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             lists = batch.column(3).to_pylist()
             for s in slices(batch.column(2)):
-                w = Windows(s)
+                w = Windows(s, min_words)
                 at, row, many = [], [], []
                 for r in range(len(s.rows)):
                     for x in lists[s.rows[r]] or []:
@@ -126,7 +143,7 @@ def _window_rows(joined: DataFrame, min_words: int) -> DataFrame:
                     continue
                 at, row = np.concatenate(at), np.concatenate(row)
                 take = pa.array(row + s.rows.start)
-                hashes = w.span(at, at + min_words)
+                hashes = w.full[at]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - w.first[row]).astype(np.int32)), pa.array(np.concatenate(many))], names=["window", "id", "k", "start", "many"])
 
     return joined.select("id", "k", "text", "blocks").mapInArrow(run, f"window bigint, id {kind}, k bigint, start int, many boolean")

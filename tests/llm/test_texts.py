@@ -62,6 +62,51 @@ def test_bpe(docs, empty):
     assert bpe.digests(empty, BYTES).count() == 0
 
 
+def thue_morse(n, zero="a", one="b"):
+    """Two complementary texts; any polynomial modulo 2**64 gives them one hash."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "".join(one if x else zero for x in bits), "".join(zero if x else one for x in bits)
+
+
+def test_hashes_tell_thue_morse_apart(spark):
+    from terrane.llm import common, minhash, suffix_dedup
+
+    pair = thue_morse(11)
+    sets = [x for s in slices(pa.array(pair)) for x in minhash.shingle_sets(s)]
+    assert not len(set(sets[0].tolist()) & set(sets[1].tolist()))
+    long = [" ".join(x) for x in thue_morse(11)]
+    windows = [set(suffix_dedup.Windows(s, 1100).full.tolist()) for t in long for s in slices(pa.array([t]))]
+    assert not windows[0] & windows[1]
+    docs = spark.createDataFrame([(1, pair[0]), (2, pair[1]), (3, long[0]), (4, long[1])], "doc_id long, text string").coalesce(1)
+    for path, found in ((BYTES, bpe.digests(docs, BYTES)), (WORDS, packing.pieces(docs, WORDS))):
+        tok = library(path)
+        n = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) if path == BYTES else (r["length"], r["ids_crc32"]) for r in found.collect()}
+        for i, text in ((1, pair[0]), (2, pair[1]), (3, long[0]), (4, long[1])):
+            ids = tok.encode(text, add_special_tokens=False).ids + ([0] if path == WORDS else [])
+            if len(ids) <= 2048:
+                raw = struct.pack(f"<{len(ids)}I", *ids)
+                assert n[i] == (len(ids), hashlib.sha256(raw).hexdigest() if path == BYTES else zlib.crc32(raw))
+    assert {r["doc_id"]: r["component_id"] for r in minhash.link(docs.where("doc_id < 3")).collect()} == {1: 1, 2: 2}
+    got = {r["doc_id"]: r["n_known"] for r in lm.score(docs.where("doc_id < 3"), docs["doc_id"] == 1).collect()}
+    assert got == {1: 2, 2: 1}
+    assert len({common.span_hashes(s.data, s.bounds[:-1], s.bounds[1:])[0] for t in pair for s in slices(pa.array([t]))}) == 2
+
+
+def test_cache_holds_bytes_against_hashes(monkeypatch):
+    """With a hash that always collides, tokens still get their own ids."""
+    import numpy as np
+
+    from terrane.llm import common
+
+    monkeypatch.setattr(common, "span_hashes", lambda data, a, b: np.zeros(len(a), common.U64))
+    cache = common.TokenCache(lambda pieces: [[len(p), *p] for p in pieces])
+    data = np.frombuffer(b"abcabd" + b"x" * 80 + b"y" * 80, np.uint8)
+    for a, b in (([0], [3]), ([3], [6]), ([0, 3], [3, 6]), ([6], [86]), ([86], [166]), ([0], [3])):
+        ids, size = cache.ids(data, np.array(a), np.array(b))
+        want = [[y - x, *data[x:y].tolist()] for x, y in zip(a, b)]
+        assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+
+
 def test_merging_skips_stale_entries():
     own = bpe.load(BYTES)
     tok = library(BYTES)

@@ -1,29 +1,30 @@
 """Toxicity by the nearest labelled examples in TF-IDF space.
 
-Features are letter words (A-Z lowered) and their beginnings of 4 to 9 bytes.
-All features of the examples make the vocabulary; a feature that no example has
-meets none of them and is left out of a text's vector. A weight is (1 + ln of
-the count) x idf x (1 + ``TELLING`` x the feature's correlation with the label
-among the examples, the root of chi-squared over their number); document
-frequencies are counted over all documents. An example is a unit vector of
-these; examples with equal vectors are one class with its label counts, and
-classes lie in an inverted index of blocks. Features that many examples have
-are a dense matrix, and what they add is a matrix product; for each other
-feature and block of class numbers the greatest weight is known. A query bounds
-its blocks by these, visits them from the highest bound down, scores their
-classes exactly and stops when no bound reaches the score at which
-``neighbours`` examples are found: the exact nearest examples, ties included.
-Votes weighted by distance give a raw score, which an isotonic map fitted
-leave-one-out on the examples calibrates; the nearest examples' ids come along
-as evidence.
+Features are words of letters, A-Z lowered. All words of the examples make the
+vocabulary; a word that no example has meets none of them and is left out of a
+text's vector. A weight is (1 + ln of the count) x idf x (1 + ``TELLING`` x the
+word's correlation with the label among the examples, the root of chi-squared
+over their number); document frequencies are counted over all documents. An
+example is a unit vector of these; examples with equal vectors are one class
+with its label counts, and classes lie in an inverted index of blocks. Words
+that many examples have are a dense matrix, and what they add is a matrix
+product; for each other word and block of class numbers the greatest weight is
+known. A batch of queries bounds each block by these, scores the blocks of the
+highest bounds, then every block whose bound reaches the score at which
+``neighbours`` examples are found, and settles what is left in double
+precision: the exact nearest examples, ties included. Votes weighted by
+distance give a raw score, which an isotonic map fitted leave-one-out on the
+examples calibrates; the nearest examples' ids come along as evidence.
 
 The examples are a bounded sample (``MAX_EXAMPLES`` labelled rows, by a hash of
-the id): a parameter, as the index is broadcast. Counting and scoring read all
-documents, each in one pass without a shuffle of texts.
+the id): a parameter, as the index is broadcast. Of near copies among them (by
+word counts, at ``ALIKE`` of the weighted Jaccard measure, of one label) one
+stays, so that a copied text's rare words do not look telling. Counting and
+scoring read all documents, each in one pass without a shuffle of texts.
 
 Defined results: null, empty and very long texts are scored like any other (a
-text with no feature of the examples gets the prior, the smoothed rate of the
-examples without a feature that stands significantly with the label, and no
+text with no word of the examples gets the prior, the smoothed rate of the
+examples without a word that stands significantly with the label, and no
 evidence); of labels repeated for one id the greatest counts, null labels and ids none; with no
 labels or one class only, every score is the smoothed rate; repeated rows are
 scored alike; an empty table gives an empty table; other columns are not read.
@@ -38,37 +39,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_LETTERS, U64, Scratch, drawn, mix, slices, span_hashes, words
-from .minhash import shingle_sets
+from .common import NOT_LETTERS, U64, Scratch, drawn, slices, words
+from .minhash import BAND, registers
 
 MAX_EXAMPLES = 8192
 NEIGHBOURS = 25
-BLOCK = 64
-BEGINNINGS = (4, 5, 6, 7, 8, 9)
-TELLING = 30.0
-#: Chi-squared from which a feature counts as a sign; only the prior depends on it.
+BLOCK = 256
+TELLING = 200.0
+#: Chi-squared from which a word counts as a sign; only the prior depends on it.
 SIGN = 40.0
-#: Features in the dense matrix at most; it takes 8 bytes for each and class.
+#: Share of two examples' word counts from which they are near copies.
+ALIKE = 0.8
+#: Words in the dense matrix at most; it takes 4 bytes for each and class.
 DENSE = 1024
-#: Texts scored by one matrix product, and document frequencies summed as one value.
-BATCH, CHUNK = 128, 4096
-
-
-def occurrences(s):
-    """(row, feature hash) arrays of a slice: its words, then their beginnings of each size."""
-    h, start, end, row = words(s, NOT_LETTERS)
-    data = LOWER[s.data]
-    yield row, h
-    for size in BEGINNINGS:
-        longer = np.flatnonzero(end - start > size)
-        at = start[longer]
-        yield row[longer], mix(span_hashes(data, at, at + size) ^ U64(size))
+#: Texts scored together, blocks scored first, and document frequencies summed as one value.
+BATCH, FIRST, CHUNK = 128, 2, 4096
+#: What single precision may be off by, with room to spare.
+SLACK = 1e-4
 
 
 def features(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature hash, count) of a slice."""
-    rows, found = zip(*occurrences(s))
-    f, r = np.concatenate(found), np.concatenate(rows)
+    """(row, word hash, count) of a slice."""
+    f, _, _, r = words(s, NOT_LETTERS)
     if not len(f):
         return r, f, r
     order = np.lexsort((f, r))
@@ -79,6 +71,26 @@ def features(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r[at], f[at], np.diff(np.append(at, len(f)))
 
 
+def unlike(sets: list[np.ndarray], counts: list[np.ndarray], group: list) -> list[int]:
+    """Places of the sets of which no earlier one of the same group is a near
+    copy. Bands of registers propose the first set of a bucket."""
+    regs = registers(sets)[:, : 8 * BAND]
+    seen: dict[tuple, int] = {}
+    out = []
+    for k, (x, n) in enumerate(zip(sets, counts)):
+        keys = [(group[k], a, regs[k, a : a + BAND].tobytes()) for a in range(0, regs.shape[1], BAND)] if len(x) else []
+        for first in {seen[key] for key in keys if key in seen}:
+            _, i, j = np.intersect1d(x, sets[first], assume_unique=True, return_indices=True)
+            both = int(np.minimum(n[i], counts[first][j]).sum())
+            if both >= ALIKE * (int(n.sum()) + int(counts[first].sum()) - both):
+                break
+        else:
+            out.append(k)
+            for key in keys:
+                seen.setdefault(key, k)
+    return out
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of ``start`` to ``start + size`` one after another."""
     end = np.cumsum(size)
@@ -86,7 +98,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Sorted feature hashes; a term is a place among them."""
+    """Sorted word hashes; a term is a place among them."""
 
     def __init__(self, known: np.ndarray):
         self.known, self.size = known, len(known)
@@ -116,12 +128,10 @@ class Vocabulary:
         if not self.size:
             none = np.empty(0, np.int64)
             return none, none, none
-        keys = []
-        for r, f in occurrences(s):
-            t = self.find(f)
-            ok = t >= 0
-            keys.append(r[ok] * self.size + t[ok])
-        key = np.sort(np.concatenate(keys))
+        f, _, _, r = words(s, NOT_LETTERS)
+        t = self.find(f)
+        ok = t >= 0
+        key = np.sort(r[ok] * self.size + t[ok])
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         r, t = np.divmod(key[at], self.size)
         return r, t, np.diff(np.append(at, len(key)))
@@ -169,13 +179,17 @@ class Index:
         owner, term = self.postings[0].astype(np.int32), np.repeat(np.arange(len(self.idf), dtype=np.int32), self.held)
         weight = self.idf[term] * self.levels[self.postings[1]]
         weight = weight / np.sqrt(np.bincount(owner, weights=weight**2, minlength=self.n))[owner]
+        order = np.argsort(owner, kind="stable")
+        #: the vectors themselves: terms and weights of each class
+        self.vector = np.append(0, np.cumsum(np.bincount(owner, minlength=self.n)))
+        self.terms, self.weights = term[order], weight[order]
         often = np.argsort(-self.held, kind="stable")[:DENSE]
         often = np.sort(often[self.held[often] > max(BLOCK, self.n // 32)])
         #: row of the dense matrix, or -1
         self.place = np.full(len(self.idf), -1, np.int32)
         self.place[often] = np.arange(len(often))
         dense = self.place[term] >= 0
-        matrix = np.zeros((len(often), self.n))
+        matrix = np.zeros((len(often), self.n), np.float32)
         matrix[self.place[term[dense]], owner[dense]] = weight[dense]
         self.owner, self.weight, term = owner[~dense], weight[~dense], term[~dense]
         #: cells: the postings of one term and block
@@ -185,67 +199,83 @@ class Index:
         self.first = np.append(first, len(cell))
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.cells = np.searchsorted(term[first], np.arange(len(self.idf) + 1))
+        self.scratch = np.zeros(len(self.idf))
         self._matrix = matrix
 
     def unit(self, terms: np.ndarray, tf: np.ndarray | None = None) -> np.ndarray:
         q = self.idf[terms] if tf is None else self.idf[terms] * tf
         return q / np.sqrt((q**2).sum())
 
-    def dense_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """(queries, classes): what the terms of the dense matrix add to each cosine."""
-        self.prepare()
-        q = np.zeros((len(queries), len(self._matrix)))
-        for k, (terms, value) in enumerate(queries):
-            place = self.place[terms]
-            q[k, place[place >= 0]] = value[place >= 0]
-        return q @ self._matrix
-
-    def nearest(self, terms: np.ndarray, k: int, without: int = -1, tf: np.ndarray | None = None, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, cosine, examples) of the classes that hold the k nearest
-        examples, ties included, nearest first; one example of the class
-        ``without`` doesn't count. ``base`` is the query's dense part."""
+    def nearest(self, terms: np.ndarray, k: int, without: int = -1, tf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.nearest_of([(terms, tf)], k, [without])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray | None]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each (terms, tf), the (class, cosine, examples) of the classes that
+        hold the k nearest examples, ties included, nearest first; one example
+        of the class ``without`` doesn't count."""
         self.prepare()
-        q = self.unit(terms, tf)
-        if base is None:
-            base = self.dense_part([(terms, q)])[0]
-        size = self.cells[terms + 1] - self.cells[terms]
-        cells, q = _ranges(self.cells[terms], size), np.repeat(q, size)
-        block = self.block[cells]
-        bound = np.bincount(block, weights=q * self.top[cells], minlength=self.blocks)
-        if self.n:
-            bound = bound + np.maximum.reduceat(base, np.arange(0, self.n, BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        classes, scores = np.empty(0, np.int64), np.empty(0)
-        floor, at, step = 0.0, 0, 4
-        while at < len(order):
-            now = order[at : at + step]
-            now = now[(bound[now] > 0) & (bound[now] >= floor - 1e-9)]
-            if not len(now):
-                break
-            at, step = at + step, 4 * step
-            visit = np.zeros(self.blocks, bool)
-            visit[now] = True
-            s = np.flatnonzero(visit[block])
-            c = cells[s]
-            many = self.first[c + 1] - self.first[c]
-            p = _ranges(self.first[c], many)
-            sums = np.bincount(self.owner[p], weights=np.repeat(q[s], many) * self.weight[p], minlength=self.n) + base
-            here = np.flatnonzero((sums > 0) & (sums >= floor - 1e-9) & np.repeat(visit, BLOCK)[: self.n])
+        many = len(queries)
+        units = [self.unit(t, tf) for t, tf in queries]
+        own = np.repeat(np.arange(many), [len(t) for t, _ in queries])
+        term, value = np.concatenate([t for t, _ in queries]), np.concatenate(units)
+        place = self.place[term]
+        in_dense = place >= 0
+        q = np.zeros((many, len(self._matrix)), np.float32)
+        q[own[in_dense], place[in_dense]] = value[in_dense]
+        score = q @ self._matrix
+        bound = np.maximum.reduceat(score, np.arange(0, self.n, BLOCK), axis=1).astype(np.float64)
+        own, term, value = own[~in_dense], term[~in_dense], value[~in_dense]
+        size = self.cells[term + 1] - self.cells[term]
+        cell, own, value = _ranges(self.cells[term], size), np.repeat(own, size), np.repeat(value, size)
+        at = own * self.blocks + self.block[cell]
+        bound = bound.ravel() + np.bincount(at, weights=value * self.top[cell], minlength=many * self.blocks)
+        bound = bound.reshape(many, self.blocks)
+        seen = np.zeros((many, self.blocks), bool)
+
+        def visit(now: np.ndarray) -> None:
+            """Add the postings of the blocks marked in ``now`` to their classes' scores."""
+            s = np.flatnonzero(now.ravel()[at])
+            c = cell[s]
+            held = self.first[c + 1] - self.first[c]
+            p = _ranges(self.first[c], held)
+            added = np.bincount(np.repeat(own[s] * self.n, held) + self.owner[p], weights=np.repeat(value[s], held) * self.weight[p], minlength=many * self.n)
+            np.add(score, added.reshape(many, self.n), out=score, casting="same_kind")
+            np.logical_or(seen, now, out=seen)
+
+        # the blocks of the highest bounds; the class k + 1 from the top there:
+        # as many hold k examples besides the one that doesn't count
+        best = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
+        first = np.zeros_like(seen)
+        np.put_along_axis(first, best, True, axis=1)
+        visit(first)
+        inside = (best[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(many, -1)
+        shown = np.where(inside < self.n, np.take_along_axis(score, np.minimum(inside, self.n - 1), 1), 0)
+        floor = np.partition(shown, -k - 1, axis=1)[:, -k - 1] if shown.shape[1] > k else np.zeros(many)
+        visit((bound > 0) & (bound >= floor[:, None] - SLACK) & ~seen)
+        score[np.repeat(~seen, BLOCK, axis=1)[:, : self.n]] = 0
+        out = []
+        for i, (terms, _) in enumerate(queries):
+            here = np.flatnonzero((score[i] > 0) & (score[i] >= floor[i] - SLACK))
             if len(here) > k + 1:
-                # k + 1 classes hold k examples besides the one that doesn't count
-                least = np.partition(sums[here], len(here) - k - 1)[len(here) - k - 1]
-                here = here[sums[here] >= least - 2e-9]
-            classes = np.concatenate([classes, here])
-            scores = np.concatenate([scores, np.round(sums[here], 9)])
-            rank = np.lexsort((classes, -scores))
-            classes, scores = classes[rank], scores[rank]
-            held = np.cumsum(self.total[classes] - (classes == without))
-            reach = int(np.searchsorted(held, k))
+                held = score[i][here]
+                here = here[held >= np.partition(held, -k - 1)[-k - 1] - SLACK]
+            # in double precision, over the vectors of the classes that are left
+            self.scratch[terms] = units[i]
+            held = self.vector[here + 1] - self.vector[here]
+            p = _ranges(self.vector[here], held)
+            exact = np.bincount(np.repeat(np.arange(len(here)), held), weights=self.scratch[self.terms[p]] * self.weights[p], minlength=len(here))
+            self.scratch[terms] = 0
+            cosine = np.round(exact, 9)
+            rank = np.lexsort((here, -cosine))
+            rank = rank[cosine[rank] > 0]
+            classes, cosine = here[rank], cosine[rank]
+            count = self.total[classes] - (classes == (without[i] if without else -1))
+            reach = int(np.searchsorted(np.cumsum(count), k))
             if reach < len(classes):
-                floor = scores[reach]
-                cut = int(np.searchsorted(-scores, -floor, side="right"))
-                classes, scores = classes[:cut], scores[:cut]
-        return classes, scores, self.total[classes] - (classes == without)
+                cut = int(np.searchsorted(-cosine, -cosine[reach], side="right"))
+                classes, cosine, count = classes[:cut], cosine[:cut], count[:cut]
+            out.append((classes, cosine, count))
+        return out
 
 
 class Model:
@@ -256,22 +286,18 @@ class Model:
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
         self._seen: dict[bytes, tuple[float, list]] = {}
 
-    def raw(self, index: Index, terms: np.ndarray, tf: np.ndarray, without: int = -1, base: np.ndarray | None = None) -> tuple[float, list]:
-        classes, cosine, held = index.nearest(terms, self.k, without, tf, base)
-        positive = index.positive[classes]
-        if without >= 0:
-            positive = positive - (classes == without) * (index.positive[without] / index.total[without])
-        weight = 1 / (1.02 - np.minimum(cosine, 1))
-        score = (weight @ positive + 0.5 * self.none_rate) / (weight @ held + 0.5)
-        return float(score), [index.example[c] for c in classes[:3].tolist()]
-
     def raws(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float, list]]:
         """Raw score and evidence of (terms, tf) texts, none of them empty."""
         index, out = self.shared.value[1], []
         for a in range(0, len(texts), BATCH):
-            part = texts[a : a + BATCH]
-            base = index.dense_part([(t, index.unit(t, tf)) for t, tf in part])
-            out += [self.raw(index, t, tf, without[a + k] if without else -1, base[k]) for k, (t, tf) in enumerate(part)]
+            left = without[a : a + BATCH] if without else None
+            for k, (classes, cosine, held) in enumerate(index.nearest_of(texts[a : a + BATCH], self.k, left)):
+                positive = index.positive[classes]
+                if left:
+                    positive = positive - (classes == left[k]) * (index.positive[left[k]] / index.total[left[k]])
+                weight = 1 / (1.02 - np.minimum(cosine, 1))
+                score = (weight @ positive + 0.5 * self.none_rate) / (weight @ held + 0.5)
+                out.append((float(score), [index.example[c] for c in classes[:3].tolist()]))
         return out
 
     def calibrate(self, raw: np.ndarray) -> None:
@@ -321,16 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     # at most max_examples rows of two numbers: bounded, so it may be broadcast
     examples = base.join(F.broadcast(sample), "id")
 
-    def sketch(batches):
-        for batch in batches:
-            least = [x[0] if len(x) else 0 for s in slices(batch.column(1)) for x in shingle_sets(s)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(least, U64).view(np.int64))], names=["id", "text", "y", "sketch"])
-
-    # copies of one text would make its rare words look telling: one example stays
-    # of those with one label and one least shingle (near copies share it)
-    sampled = scratch.keep(examples.select("id", "text", "y").mapInArrow(sketch, f"id {kind}, text string, y int, sketch bigint"), "sampled")
-    single = sampled.groupBy("y", "sketch").agg(F.min("id").alias("id"))
-    examples = scratch.keep(sampled.join(F.broadcast(single), ["y", "sketch", "id"], "left_semi").dropDuplicates(["id"]).select("id", "text", "y"), "examples")
+    examples = scratch.keep(examples.select("id", "text", "y").dropDuplicates(["id"]), "examples")
 
     def vectors(batches):
         for batch in batches:
@@ -353,6 +370,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     lists, counts = rows.column("f").combine_chunks(), rows.column("n").combine_chunks().flatten().to_numpy()
     sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(U64)
     del rows, lists
+    cut = np.append(0, np.cumsum(sizes))
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    # near copies count once
+    chosen = [order[k] for k in unlike([flat[cut[i] : cut[i + 1]] for i in order], [counts[cut[i] : cut[i + 1]] for i in order], [bool(toxic[i]) for i in order])]
+    ids, toxic = [ids[i] for i in chosen], toxic[chosen]
+    at = _ranges(cut[chosen], sizes[chosen])
+    flat, counts, sizes = flat[at], counts[at], sizes[chosen]
+    n_pos, big = float(toxic.sum()), float(len(ids))
+    rate = (n_pos + 1) / (big + 2)
     known = np.unique(flat)
     term = np.searchsorted(known, flat).astype(np.int32)
     del flat
@@ -389,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
 
     cut = np.append(0, np.cumsum(sizes))
     groups: dict[bytes, list] = {}
-    for k in sorted(range(len(ids)), key=ids.__getitem__):
+    for k in range(len(ids)):
         t, c = term[cut[k] : cut[k + 1]], counts[cut[k] : cut[k + 1]]
         if not len(t):
             continue
@@ -410,7 +436,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     def left_out(batches):
         for batch in batches:
             for s in slices(batch.column(0)):
-                found = [(place[key], t, tf) for key, t, tf in vectors_of(model.shared.value[0], s) if key]
+                found = [(place[key], t, tf) for key, t, tf in vectors_of(model.shared.value[0], s) if key in place]
                 raw = model.raws([(t, tf) for _, t, tf in found], [c for c, _, _ in found])
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in found], pa.int64()), pa.array([x for x, _ in raw], pa.float64())], names=["c", "raw"])
 

@@ -318,6 +318,55 @@ def test_nearest_examples_are_exact_by_counts():
         assert np.allclose(cosine[cosine < 1 - 1e-8], np.sort(want)[::-1][1:26], atol=2e-9) and k in classes
 
 
+def test_near_copies_of_examples_count_once():
+    r = np.random.default_rng(5)
+    sets, counts, group = [], [], []
+    for k in range(30):
+        x = np.unique(r.integers(1, 2**63, 200).astype(np.uint64))
+        for j in range(3):
+            y = np.unique(np.concatenate([x[5 * j :], r.integers(1, 2**63, 5 * j).astype(np.uint64)]))
+            sets.append(y)
+            counts.append(np.full(len(y), 1 + k % 3))
+            group.append(j == 2 and k % 2)
+    left = toxicity.unlike(sets, counts, group)
+    assert left == sorted([3 * k for k in range(30)] + [3 * k + 2 for k in range(1, 30, 2)])
+    assert toxicity.unlike([np.empty(0, np.uint64)] * 2, [np.empty(0, int)] * 2, [0, 0]) == [0, 1]
+
+
+def test_scores_are_the_brute_force_votes(spark):
+    """Vocabulary, idf, weights, cosine, votes and calibration, recomputed plainly."""
+    docs, labels = labelled(spark, 160)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    learn = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] is not None and r["toxic"] is not None and r["doc_id"] % 5}
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    bags = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    vocab = sorted({w for i in learn for w in bags[i]})
+    n, pos = len(learn), sum(learn.values())
+    weight = {}
+    for w in vocab:
+        a, b = sum(learn[i] for i in learn if w in bags[i]), sum(w in bags[i] for i in learn)
+        told = (a * n - b * pos) ** 2 / (b * (n - b) * pos * (n - pos)) if b < n else 0
+        weight[w] = (math.log((len(texts) + 1) / (sum(w in x for x in bags.values()) + 1)) + 1) * (1 + toxicity.TELLING * told)
+
+    def unit(i):
+        v = {w: weight[w] * (1 + math.log(c)) for w, c in bags[i].items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(i) for i in texts}
+    raw = {}
+    for i in texts:
+        near = sorted(((round(sum(x * units[j].get(w, 0) for w, x in units[i].items()), 9), j) for j in learn), key=lambda x: (-x[0], x[1]))
+        assert got[i]["evidence"][0] in [j for c, j in near if abs(c - near[0][0]) < 2e-9], i
+        # leave-one-out for calibration is the model's own; the vote is recomputed here
+        cut = near[toxicity.NEIGHBOURS - 1][0]
+        votes = [(1 / (1.02 - min(c, 1)), learn[j]) for c, j in near if c >= cut - 1e-9]
+        raw[i] = (sum(a * y for a, y in votes) + 0.5 * model.none_rate) / (sum(a for a, _ in votes) + 0.5)
+    x, y = model.knots
+    assert all(abs(got[i]["score"] - float(np.interp(raw[i], x, y))) < 1e-6 for i in texts)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

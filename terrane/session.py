@@ -13,6 +13,12 @@ SEMANTICS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Bytes of one Arrow batch at most: rows of long texts would otherwise come to
+#: Python ten thousand at a time.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Python workers give freed memory back instead of keeping an arena a thread.
+WORKER_ENVIRONMENT = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def session(name: str = "terrane", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` keys use ``__`` for ``.``."""
@@ -25,10 +31,15 @@ def session(name: str = "terrane", master: str | None = None, **conf: str) -> Sp
 
 
 def share_code(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not installed there."""
+    """Let Python workers import this package when it is not installed there,
+    and bound what they hold at a time, unless the cluster has its own settings."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_ENVIRONMENT.items():
+        env.setdefault(name, value)
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(16 << 20))
     return spark

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schema import EDGE_RULES, Graph
 from .query import first_by
+from .traverse import settle
 
 RESOURCES = ("database", "queue", "cloud_resource")
 #: Accessors of a resource that meet in one task; larger resources are dealt out in blocks.
 PAIR_BLOCK = 2000
+#: Accessors above which a resource is a hub, and services of one class that meet in one task.
+HUB, CLASS_BLOCK = 64, 256
 
 
 def access_map(g: Graph) -> DataFrame:
@@ -98,14 +101,52 @@ def shared_pairs(access: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     return met.select("svc_a", "svc_b", "res", S.risk(F.col("wa"), F.col("wb")).alias("risk"))
 
 
+def _listed(pairs: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, items): what each pair shares, the riskiest and least resource first."""
+    item = F.struct((-S.risk_rank("risk")).alias("r"), "res", F.coalesce("res_name", F.lit("unknown")).alias("res_name"))
+    return pairs.join(names, "res", "left").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _told(items: DataFrame, *keys: str) -> DataFrame:
+    risk = S.lookup((-F.col("items")[0]["r"]).cast("int"), {3: "High", 2: "Medium", 1: "Low"})
+    out = items.withColumn("risk", risk).withColumn("resources", F.array_sort(F.transform("items", lambda x: x["res"])))
+    return out.select(*keys, "risk", "resources", S.coupling_reason("risk", F.col("items")[0]["res_name"]).alias("reason"))
+
+
 def couplings(g: Graph, access: DataFrame) -> DataFrame:
     """(svc_a, svc_b, risk, resources, reason): pairs with a < b; risk is the
-    greatest over shared resources, the reason that of the least such resource (D2)."""
-    name = g.nodes.select(F.col("id").alias("res"), F.col("display_name").alias("res_name"))
-    pairs = shared_pairs(access).join(name, "res", "left").withColumn("rank", S.risk_rank("risk"))
-    out = pairs.groupBy("svc_a", "svc_b").agg(F.max("rank").alias("rank"), F.array_sort(F.collect_set("res")).alias("resources"), F.min_by("res_name", F.struct((-F.col("rank")).alias("r"), "res")).alias("named"))
-    risk = S.lookup("rank", {3: "High", 2: "Medium", 1: "Low"})
-    return out.withColumn("risk", risk).select("svc_a", "svc_b", "risk", "resources", S.coupling_reason("risk", F.coalesce("named", F.lit("unknown"))).alias("reason"))
+    greatest over shared resources, the reason that of the least such resource (D2).
+
+    Services that touch the same hubs in the same way are one class. What two
+    classes share is worked out once for all their members; pairs of members are
+    written out last, in blocks, and only those that share a rarer resource too
+    are merged with it."""
+    names = g.nodes.select(F.col("id").alias("res"), F.col("display_name").alias("res_name"))
+    per = access.select("svc", "res", "writes")
+    counted = settle(per.join(per.groupBy("res").agg(F.count("*").alias("k")), "res").where("k > 1"))
+    profile = counted.where(F.col("k") > HUB).groupBy("svc").agg(F.array_sort(F.collect_list(F.struct("res", "writes"))).alias("profile"))
+    classes = profile.groupBy("profile").agg(F.min("svc").alias("pid"), F.ceil(F.count("*") / CLASS_BLOCK).alias("blocks"), F.count("*").alias("n"))
+    classes = settle(classes)
+    members = settle(profile.join(classes, "profile").select("svc", "pid", F.pmod(F.xxhash64("svc"), "blocks").alias("block")))
+    touched = classes.select(F.col("pid").alias("svc"), "n", F.explode("profile").alias("p")).select("svc", "n", "p.res", "p.writes")
+    within = touched.where("n > 1").select(F.col("svc").alias("svc_a"), F.col("svc").alias("svc_b"), "res", S.risk(F.col("writes"), F.col("writes")).alias("risk"))
+    both = settle(_listed(shared_pairs(touched).union(within), names, ["svc_a", "svc_b"]).toDF("pid_a", "pid_b", "items"))
+    # pairs that share a rarer resource
+    pid = members.select("svc", "pid")
+    direct = _listed(shared_pairs(counted.where(F.col("k") <= HUB)), names, ["svc_a", "svc_b"])
+    direct = direct.join(pid.toDF("svc_a", "x"), "svc_a", "left").join(pid.toDF("svc_b", "y"), "svc_b", "left")
+    direct = direct.join(both.withColumnRenamed("items", "more"), (F.least("x", "y") == F.col("pid_a")) & (F.greatest("x", "y") == F.col("pid_b")) & F.col("x").isNotNull() & F.col("y").isNotNull(), "left")
+    merged = F.when(F.col("more").isNull(), F.col("items")).otherwise(F.array_sort(F.concat("items", "more")))
+    found = settle(_told(direct.select("svc_a", "svc_b", merged.alias("items")), "svc_a", "svc_b"))
+    # members of the classes, block by block
+    blocks = classes.select("pid", "blocks")
+    lanes = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    told = _told(both, "pid_a", "pid_b").join(blocks.toDF("pid_a", "na"), "pid_a").join(blocks.toDF("pid_b", "nb"), "pid_b")
+    dealt = told.withColumn("block_a", lanes("na")).withColumn("block_b", lanes("nb")).where("pid_a <> pid_b or block_a <= block_b")
+    wide = dealt.join(members.toDF("one", "pid_a", "block_a"), ["pid_a", "block_a"]).join(members.toDF("two", "pid_b", "block_b"), ["pid_b", "block_b"])
+    wide = wide.where("pid_a <> pid_b or block_a < block_b or one < two")
+    wide = wide.select(F.least("one", "two").alias("svc_a"), F.greatest("one", "two").alias("svc_b"), "risk", "resources", "reason")
+    return found.union(wide.join(found.select("svc_a", "svc_b"), ["svc_a", "svc_b"], "left_anti"))
 
 
 def shared_access(access: DataFrame, owners: DataFrame) -> DataFrame:

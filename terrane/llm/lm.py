@@ -10,10 +10,12 @@ words, with one unseen word a shape.
 
 Backpropagation is truncated to windows of ``WINDOW`` steps, while the state is
 carried across windows to the end of a document, in training and in scoring.
-Texts run side by side in lanes of near-equal length. Training begins on one
-task with a bounded sample, which puts all replicas on one footing, then every
-partition trains on all its training documents and the replicas are averaged,
-weighted by tokens, in two streaming steps.
+Texts run side by side in lanes of near-equal length, whole and in order; lanes
+that end fall away, and windows lengthen as they do. Training begins on one
+task with ``PASSES`` over a bounded sample, which puts all replicas on one
+footing, then every partition trains once on all its training documents and the
+replicas are averaged, weighted by tokens, in two streaming steps. So ``score``
+depends on how the table is partitioned; the counts and ``base_score`` do not.
 
 Counts are pre-aggregated before the shuffle. Frequent words (at most ``HEAD``)
 are broadcast; only the rest of a document's words, distinct within it, are
@@ -35,20 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, drawn, mix, slices, words
+from .common import U64, Scratch, drawn, gather, mix, slices, words
 
 HIDDEN = 16
 WINDOW = 16
 VOCABULARY = 1024
 CLASSES = 32
 HEAD = 1 << 19
-#: Documents of the first, single-task training, and the tokens it makes of them.
+#: Documents of the first, single-task training, and how often it reads them.
 WARM_DOCUMENTS = 2048
-WARM_TOKENS = 2_000_000
+PASSES = 2
 RATE = 0.05
 LANES = 512
-#: Longest run that training takes as one text; scoring never cuts.
-SEGMENT = 2048
 #: Tokens that go through the network together.
 GROUP = 2_000_000
 #: Steps between outputs in scoring, where no gradient bounds the window.
@@ -315,11 +315,8 @@ class Network:
 
 def lanes(sizes: np.ndarray) -> list[list[int]]:
     """Texts dealt out to lanes of near-equal total length, longest first."""
-    if not len(sizes):
-        return []
-    count = int(min(LANES, len(sizes), max(1, sizes.sum() // max(1, sizes.max()))))
-    heap = [(0, k) for k in range(count)]
-    out: list[list[int]] = [[] for _ in range(count)]
+    heap = [(0, k) for k in range(min(LANES, len(sizes)))]
+    out: list[list[int]] = [[] for _ in heap]
     for i in np.argsort(-sizes, kind="stable").tolist():
         load, k = heap[0]
         out[k].append(i)
@@ -329,26 +326,33 @@ def lanes(sizes: np.ndarray) -> list[list[int]]:
 
 def feed(items: np.ndarray, bounds: np.ndarray, window: int = WINDOW):
     """Windows of the texts ``items[bounds]`` (each ends with the end item):
-    (x, y, reset, valid, text) by step and lane."""
+    (x, y, reset, valid, text) by step and lane. Lanes come longest first, and
+    a window has only those that still go on: the first of the one before. As
+    they become fewer it has more steps, up to sixteen times as many."""
     sizes = np.diff(bounds)
-    plan = lanes(sizes)
-    total = max((int(sizes[lane].sum()) for lane in plan), default=0)
-    y = np.full((len(plan), total), SHAPES, np.int32)
-    reset, text = np.zeros((len(plan), total), bool), np.full((len(plan), total), -1, np.int32)
-    for k, lane in enumerate(plan):
-        at = 0
-        for i in lane:
-            n = int(sizes[i])
-            y[k, at : at + n] = items[bounds[i] : bounds[i + 1]]
-            text[k, at : at + n] = i
-            reset[k, at] = True
-            at += n
-    x = np.full_like(y, SHAPES)
-    x[:, 1:] = y[:, :-1]
-    x[reset] = SHAPES
-    for t in range(0, total, window):
-        part = slice(t, t + window)
-        yield x[:, part].T, y[:, part].T, reset[:, part].T, (text[:, part] >= 0).T, text[:, part].T
+    plan = sorted(((int(sizes[lane].sum()), lane) for lane in lanes(sizes)), key=lambda x: -x[0])
+    if not plan:
+        return
+    load, texts = np.array([n for n, _ in plan]), np.concatenate([lane for _, lane in plan])
+    own = gather(items, bounds[texts], sizes[texts])
+    text = np.repeat(texts, sizes[texts])
+    begin = np.zeros(len(own), bool)
+    begin[np.cumsum(sizes[texts]) - sizes[texts]] = True
+    before = np.full_like(own, SHAPES)
+    before[1:] = own[:-1]
+    before[begin] = SHAPES
+    first, at = np.cumsum(load) - load, 0
+    while at < load[0]:
+        going = int(np.searchsorted(-load, -at))
+        steps = np.arange(at, min(at + window * min(16, len(load) // going), load[0]))[:, None]
+        place = np.minimum(first[:going] + steps, len(own) - 1)
+        yield before[place], own[place], begin[place], steps < load[:going], text[place]
+        at = int(steps[-1, 0]) + 1
+
+
+def carried(h: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    """The states of the lanes that go on; zeros before the first window."""
+    return np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h[: x.shape[1]]
 
 
 def itemised(column, known: Words, detailed: bool = True):
@@ -392,9 +396,7 @@ def score_texts(column, known: Words, net: Network):
         total = np.zeros(len(sizes))
         h = None
         for x, y, reset, valid, text in feed(items, bounds, SCORE_WINDOW):
-            if h is None:
-                h = np.zeros((x.shape[1], HIDDEN), np.float32)
-            hs, h, _ = net.run(x, reset, h, keep=False)
+            hs, h, _ = net.run(x, reset, carried(h, x), keep=False)
             where = slice(None) if valid.all() else np.flatnonzero(valid.ravel())
             out, _ = net.output(hs.reshape(-1, HIDDEN)[where], y.ravel()[where])
             total += np.bincount(text.ravel()[where], weights=out, minlength=len(sizes))
@@ -402,15 +404,9 @@ def score_texts(column, known: Words, net: Network):
 
 
 def train_texts(net: Network, items: np.ndarray, bounds: np.ndarray) -> None:
-    sizes = np.diff(bounds)
-    parts = -(-sizes // SEGMENT)
-    offset = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    bounds = np.append(np.repeat(bounds[:-1], parts) + offset * SEGMENT, bounds[-1])
     h = None
     for x, y, reset, valid, _ in feed(items, bounds):
-        if h is None:
-            h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        h = net.train_window(x, y, reset, valid, h)
+        h = net.train_window(x, y, reset, valid, carried(h, x))
 
 
 def count_words(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -462,8 +458,7 @@ def train(texts: DataFrame, known: Words) -> np.ndarray:
         k = shared.value
         net = Network(k.freq)
         groups = [(i, np.append(0, np.cumsum(sizes))) for b in batches for _, i, sizes, _ in itemised(b.column(0), k, detailed=False)]
-        tokens = sum(len(g[0]) for g in groups)
-        for _ in range(max(1, min(20, WARM_TOKENS // max(1, tokens)))):
+        for _ in range(PASSES):
             for items, bounds in groups:
                 train_texts(net, items, bounds)
         yield pa.RecordBatch.from_arrays([pa.array([net.flat.tobytes()], pa.binary())], names=["flat"])

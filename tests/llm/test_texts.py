@@ -255,8 +255,7 @@ def test_model_is_a_distribution_and_learns():
     def loss():
         h, out = None, []
         for x, y, reset, valid, _ in lm.feed(items, bounds):
-            h = np.zeros((x.shape[1], lm.HIDDEN), np.float32) if h is None else h
-            hs, h, _ = net.run(x, reset, h, keep=False)
+            hs, h, _ = net.run(x, reset, lm.carried(h, x), keep=False)
             out.append(net.output(hs.reshape(-1, lm.HIDDEN)[valid.ravel()], y.ravel()[valid.ravel()])[0])
         return -np.concatenate(out).mean()
     before = loss()
@@ -299,3 +298,40 @@ def test_gradients():
         assert grads[name][cell] == pytest.approx(slope(name, cell), rel=0.05, abs=5e-3), name
     for r, column in ((0, 1), (1, lm.HIDDEN + 3), (2, 2 * lm.HIDDEN + 5)):
         assert sums[r, column] == pytest.approx(slope("A", (int(rows_[r]), column)), rel=0.05, abs=5e-3)
+
+
+def test_scores_are_plain_sums():
+    """Text by text and token by token, the state carried through: the sums that
+    lanes and windows give, in training order too."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    freq = np.r_[np.ones(lm.SHAPES), 50.0, np.full(20, 10.0)]
+    net = lm.Network(freq)
+    net.flat += rng.normal(0, 0.2, net.flat.shape).astype(np.float32) * (net.flat > -20)
+    sizes = np.r_[rng.integers(1, 60, 700), 3000, 1500, 1]
+    bounds = np.append(0, np.cumsum(sizes))
+    items = rng.integers(0, len(freq), bounds[-1]).astype(np.int32)
+    items[bounds[1:] - 1] = lm.SHAPES
+    total, seen, h = np.zeros(len(sizes)), [], None
+    for x, y, reset, valid, text in lm.feed(items, bounds):
+        hs, h, _ = net.run(x, reset, lm.carried(h, x), keep=False)
+        out, _ = net.output(hs.reshape(-1, lm.HIDDEN)[valid.ravel()], y.ravel()[valid.ravel()])
+        total += np.bincount(text[valid], weights=out, minlength=len(sizes))
+        seen.append(y[valid])
+    assert (np.bincount(np.concatenate(seen), minlength=len(freq)) == np.bincount(items, minlength=len(freq))).all()
+    H, p = lm.HIDDEN, net.p
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for i in (0, 350, 700, 701, 702):
+        h, was, want = np.zeros(H), lm.SHAPES, 0.0
+        for y in items[bounds[i] : bounds[i + 1]]:
+            a, u = p["A"][was], h @ p["U"]
+            r, z = sigmoid(a[:H] + u[:H]), sigmoid(a[H : 2 * H] + u[H : 2 * H])
+            n = np.tanh(a[2 * H :] + r * u[2 * H :])
+            h = n + z * (h - n)
+            c = net.cls[y]
+            outer = h @ p["Wc"] + p["bc"]
+            inner = (h @ p["Wo"][c] + p["bo"][c])[: net.held[c]]
+            want += outer[c] - np.log(np.exp(outer).sum()) + inner[net.slot[y]] - np.log(np.exp(inner).sum())
+            was = y
+        assert abs(total[i] - want) < 1e-3 * max(1, abs(want)), i

@@ -213,8 +213,6 @@ def vectors(table: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec_col:
 def build(nodes: DataFrame, count: int, dim: int, scratch: Scratch, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
     """The neighbour graph (u, ws, ds), nearest first, once NN-descent has settled."""
     graph = scratch.keep(_merge(_first_graph(nodes, count, dim, degree), degree), "graph")
-    if count <= BLOCK:
-        return graph  # one block compared everything
     k = 0
     while True:
         own = graph.select("u", F.explode(F.arrays_zip("ws", "ds")).alias("e")).select("u", F.col("e.ws").alias("w"), F.col("e.ds").alias("d"))
@@ -223,7 +221,7 @@ def build(nodes: DataFrame, count: int, dim: int, scratch: Scratch, degree: int
         r = both.agg(F.sum(F.size(F.array_except("ws", F.coalesce("had", F.array().cast("array<bigint>"))))).alias("new"), F.sum(F.size("ws")).alias("all")).first()
         scratch.drop(graph)
         graph, k = after, k + 1
-        if r["new"] <= settled * r["all"]:
+        if (r["new"] or 0) <= settled * (r["all"] or 0):
             return graph
 
 

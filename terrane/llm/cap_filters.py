@@ -64,7 +64,8 @@ def code(dim: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     part = size // PARTS
     books = []
     for _ in range(PARTS):
-        b = rng.normal(size=(part, words))
+        # one dimension has two directions, and more would repeat the same caps
+        b = rng.normal(size=(part, words)) if part > 1 else np.array([[1.0, -1.0]])
         books.append(b / np.linalg.norm(b, axis=0))
     return rotation, books
 
@@ -90,7 +91,7 @@ def decode(unit: np.ndarray, words: int = WORDS, reach: float = REACH) -> tuple[
         if not len(row):
             break
         rows.append(row)
-        filters.append(a * (words * words) + order[row, k])
+        filters.append(a * right.shape[1] + order[row, k])
     if not rows:
         none = np.empty(0, np.int64)
         return none, none

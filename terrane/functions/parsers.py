@@ -26,7 +26,7 @@ def row(kind: str, path: str, line: int | None = None, **more) -> Row:
     return {"kind": kind, "source_file": path, "source_line": line} | more
 
 
-# --------------------------------------------------------------------- python
+# ------------- python
 
 PY_DYNAMO = {"get_item": "Read", "query": "Read", "scan": "Read", "batch_get_item": "Read", "transact_get_items": "Read", "put_item": "Write", "delete_item": "Write", "batch_write_item": "Write", "transact_write_items": "Write", "update_item": "ReadWrite"}
 PY_CLOUD = {"s3": ("cloud_resource", "s3", None), "lambda": ("cloud_resource", "lambda", None), "sqs": ("queue_operation", "sqs", "Unknown"), "sns": ("queue_operation", "sns", "Publish"), "events": ("queue_operation", "eventbridge", "Unknown"), "eventbridge": ("queue_operation", "eventbridge", "Unknown")}
@@ -95,7 +95,7 @@ def python_service(files: dict[str, str]) -> Row | None:
     return None
 
 
-# ----------------------------------------------------------------- javascript
+# ------------- javascript
 
 JS_METHODS = {"get": "Read", "getItem": "Read", "query": "Read", "scan": "Read", "batchGet": "Read", "batchGetItem": "Read", "transactGet": "Read", "transactGetItems": "Read", "put": "Write", "putItem": "Write", "delete": "Write", "deleteItem": "Write", "batchWrite": "Write", "batchWriteItem": "Write", "transactWrite": "Write", "transactWriteItems": "Write", "update": "ReadWrite", "updateItem": "ReadWrite"}
 JS_RECEIVERS = ("dynamo", "docclient", "documentclient", "ddb", "table")
@@ -180,7 +180,7 @@ def javascript_service(package: str, has_tsconfig: bool = False) -> Row:
     return row("service", "package.json", 1, name=p.get("name") or "unknown", entry_point=p.get("main") or "index.js", language="typescript" if typed else "javascript", framework=next((f for d, f in JS_FRAMEWORKS if d in deps), None))
 
 
-# ------------------------------------------------------------------ terraform
+# ------------- terraform
 
 
 def runtime_language(runtime: str | None) -> str:
@@ -244,7 +244,7 @@ def parse_terraform(path: str, text: str) -> list[Row]:
     return out
 
 
-# ------------------------------------------------------------- cloudformation
+# ------------- cloudformation
 
 
 def _value(v) -> str | None:
@@ -322,7 +322,7 @@ def parse_cloudformation(path: str, text: str) -> list[Row]:
     return out
 
 
-# ------------------------------------------------------------------- registry
+# ------------- registry
 
 PARSERS = {"javascript": (("js", "jsx", "mjs", "cjs", "ts", "tsx"), parse_javascript), "python": (("py",), parse_python), "terraform": (("tf",), parse_terraform), "cloudformation": (("yaml", "yml", "json"), parse_cloudformation)}
 ALIASES = {"typescript": "javascript", "sam": "cloudformation"}

@@ -22,7 +22,7 @@ def lookup(key: Column | str, values: dict[str, object], otherwise: object = Non
     return ladder.otherwise(F.lit(otherwise)) if otherwise is not None else ladder
 
 
-# ------------------------------------------------------------------ node ids
+# ------------- node ids
 
 
 def node_id(node_type: Column | str, namespace: Column | str, name: Column | str) -> Column:
@@ -55,7 +55,7 @@ def make_id(node_type: str, namespace: str, name: str) -> str:
     return f"{node_type}:{namespace}:{name}"
 
 
-# ---------------------------------------------------------------- attributes
+# ------------- attributes
 
 
 def attr(name: str, attributes: Column | str = "attributes") -> Column:
@@ -74,7 +74,7 @@ def attr_equals(name: str, value: object, attributes: Column | str = "attributes
     return F.coalesce(kind[1] & (F.try_variant_get(v, "$", kind[0]) == F.lit(value)), F.lit(False))
 
 
-# ----------------------------------------------------------------- staleness
+# ------------- staleness
 
 
 def age_seconds(updated_at: Column | str, as_of: Column) -> Column:
@@ -101,7 +101,7 @@ def staleness(updated_at: Column | str, as_of: Column) -> Column:
     return F.when(d <= 0, "today").when(d == 1, "yesterday").when(d < 7, units(d, "day", "days")).when(d < 30, units(F.floor(d / 7), "week", "weeks")).otherwise(units(F.floor(d / 30), "month", "months"))
 
 
-# ------------------------------------------------------- relevance and budget
+# ------------- relevance and budget
 
 
 def decay(edge_type: Column | str) -> Column:
@@ -134,7 +134,7 @@ EDGE_TOKENS = 30
 DOCUMENT_TOKENS = 100
 
 
-# ------------------------------------------------------------------- display
+# ------------- display
 
 
 def sanitize(id_: Column | str, dots: bool = False) -> Column:
@@ -163,7 +163,7 @@ def evidence_text(evidence: Column | str, most: int = 3) -> Column:
     return F.when(F.size(e) == 0, "-").otherwise(F.concat(shown, more))
 
 
-# -------------------------------------------------------------------- access
+# ------------- access
 
 
 def access_mode(edge_type: Column | str) -> Column:

@@ -29,8 +29,10 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: str = "path", value: s
 
 def name_status_changes(lines: DataFrame) -> DataFrame:
     """(path, change) from lines of a name-status diff (SRC10): a rename deletes
-    one path and adds another, a copy adds, other letters modify."""
-    f = F.split(F.trim("value"), r"\s+")
+    one path and adds another, a copy adds, other letters modify. Tabs part the
+    fields, as paths may hold blanks; a line without any is parted at blanks."""
+    line = F.trim(F.col("value"))
+    f = F.when(F.contains(line, F.lit("\t")), F.split(line, r"\t+")).otherwise(F.split(line, r"\s+"))
     code, first, second = F.upper(F.substring(f[0], 1, 1)), F.try_element_at(f, F.lit(2)), F.try_element_at(f, F.lit(3))
     row = lambda p, c: F.struct(p.alias("path"), F.lit(c).alias("change"))
     items = F.when(code == "R", F.array(row(first, "deleted"), row(second, "added"))).when(code == "C", F.array(row(second, "added"))).when(code == "A", F.array(row(first, "added"))).when(code == "D", F.array(row(first, "deleted"))).otherwise(F.array(row(first, "modified")))

@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ------------------------------------------------------------------ couplings
+# ------------- couplings
 
 ACCESS = """,
 acc AS (
@@ -170,7 +170,7 @@ def edge_rejects(g: Graph) -> DataFrame:
     return bad.groupBy("why").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------- filters and hops
+# ------------- filters and hops
 
 
 @register(" SELECT node_type, count(*) AS n FROM n GROUP BY 1")
@@ -361,7 +361,7 @@ def resource_accessors(g: Graph) -> DataFrame:
     return query.accessors(g)
 
 
-# ------------------------------------------------------------ gaps, questions
+# ------------- gaps, questions
 
 GAPS = (
     DEG
@@ -398,7 +398,7 @@ def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.conversation_text(table(spark, sf_dir, "conversations"))
 
 
-# --------------------------------------------------------------------- budget
+# ------------- budget
 
 BUDGET = 40000
 PRICED = (
@@ -436,7 +436,7 @@ def budget_estimate(g: Graph) -> DataFrame:
     return budget.document_tokens(budget.estimated(g, scored), edges)
 
 
-# ------------------------------------------------------------------ staleness
+# ------------- staleness
 
 
 @register(
@@ -450,7 +450,7 @@ def staleness_report(g: Graph) -> DataFrame:
     return g.nodes.select("id", S.age_days(u, as_of).alias("age_days"), S.is_stale(u, 7, as_of).alias("stale"), S.staleness(u, as_of).alias("age"))
 
 
-# ---------------------------------------------------------------- incremental
+# ------------- incremental
 
 _MANIFEST = " , o AS (SELECT vec_id AS path, md5(CAST(label % 2 AS VARCHAR)) AS h FROM embeddings), w AS (SELECT doc_id AS path, md5(CAST(quality AS VARCHAR)) AS h FROM labels)"
 
@@ -496,7 +496,7 @@ def survey_state_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.state_totals(_state(spark, sf_dir)[1])
 
 
-# -------------------------------------------------------------------- upserts
+# ------------- upserts
 
 
 def _orders_as(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -536,7 +536,7 @@ def merge_business_context(g: Graph) -> DataFrame:
     return merged.select("id", c["purpose"].alias("purpose"), c["owner"].alias("owner"), gotchas.alias("gotchas"))
 
 
-# ------------------------------------------------------------------- the rest
+# ------------- the rest
 
 
 @register(" SELECT c_name AS repo, CASE WHEN c_name LIKE '%1' THEN 'prod' WHEN c_name LIKE 'Customer#00000%' THEN 'early' WHEN c_name LIKE '%2' THEN 'test' END AS environment, CASE WHEN c_name LIKE '%1' THEN '111' WHEN c_name LIKE 'Customer#00000%' THEN NULL WHEN c_name LIKE '%2' THEN '222' END AS aws_account_id FROM customer")
@@ -637,12 +637,12 @@ def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repos.scan_diff(_scan(spark, sf_dir, "l_returnflag <> 'N'"), _scan(spark, sf_dir, "l_returnflag <> 'A'"))
 
 
-# -------------------------------------------------------------------- parsers
+# ------------- parsers
 
 
 def _sources(spark: SparkSession, sf_dir: str, path: str, head: str, line, tail: str = "", joined: str = "\n") -> DataFrame:
-    """A source file for each supplier that touches the parts it ships in bulk."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_suppkey", "l_partkey").distinct()
+    """A source file for each supplier that touches the parts it ships."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     body = F.array_join(F.array_sort(F.collect_list(line(F.col("l_partkey").cast("string")))), joined)
     per = li.groupBy("l_suppkey").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("content"))
     return per.select(F.col("l_suppkey").alias("repo_index"), F.concat(F.lit("org/supplier-"), F.col("l_suppkey").cast("string")).alias("repo"), F.lit(path).alias("path"), "content")
@@ -654,7 +654,7 @@ def _found(files: DataFrame, language: str) -> DataFrame:
 
 
 def _touch_sql(operation: str) -> str:
-    return f" SELECT DISTINCT 'org/supplier-' || CAST(l_suppkey AS VARCHAR) AS repo, 'part-' || CAST(l_partkey AS VARCHAR) AS name, '{operation}' AS operation FROM lineitem WHERE l_quantity >= 48"
+    return f" SELECT DISTINCT 'org/supplier-' || CAST(l_suppkey AS VARCHAR) AS repo, 'part-' || CAST(l_partkey AS VARCHAR) AS name, '{operation}' AS operation FROM lineitem"
 
 
 @register(_touch_sql("Read"))
@@ -682,7 +682,7 @@ def parse_cloudformation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """ , t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity >= 48)
+    """ , t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
 SELECT 'node' AS what, 'service:org-supplier-' || s || ':supplier-' || s AS a, '' AS b FROM (SELECT DISTINCT CAST(s AS VARCHAR) AS s FROM t)
 UNION ALL SELECT 'node', 'database:org-supplier-' || CAST(min(s) AS VARCHAR) || ':part-' || CAST(p AS VARCHAR), '' FROM t GROUP BY p
 UNION ALL SELECT 'READS', 'service:org-supplier-' || CAST(s AS VARCHAR) || ':supplier-' || CAST(s AS VARCHAR), 'part-' || CAST(p AS VARCHAR) FROM t"""
@@ -700,8 +700,12 @@ def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import surveyed  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import surveyed  # noqa: F401
+
     return dict(SQL)

@@ -197,6 +197,8 @@ def test_changes(spark):
     assert {r["path"]: r["change"] for r in incremental.snapshot_changes(old, new).collect()} == {"a": "deleted", "b": "modified", "d": "added"}
     lines = spark.createDataFrame([("M\tindex.js",), ("A\tnew.ts",), ("R100\told.py\tnext.py",), ("C75\ta.tf\tb.tf",), ("D\tgone.yaml",), ("M\tREADME.md",)], "value string")
     assert sorted((r["path"], r["change"]) for r in incremental.name_status_changes(lines).collect()) == [("b.tf", "added"), ("gone.yaml", "deleted"), ("index.js", "modified"), ("new.ts", "added"), ("next.py", "added"), ("old.py", "deleted")]
+    blanks = spark.createDataFrame([("A\tsrc/a file.py",), ("R100\told one.py\tnew one.py",)], "value string")
+    assert sorted((r["path"], r["change"]) for r in incremental.name_status_changes(blanks).collect()) == [("new one.py", "added"), ("old one.py", "deleted"), ("src/a file.py", "added")]
     state = spark.createDataFrame([("r1", "a", True), ("r2", "a", False), ("r3", "a", True)], "repo string, commit_sha string, survey_successful boolean")
     now = spark.createDataFrame([("r1", "a"), ("r2", "a"), ("r3", "b"), ("r4", "z")], "repo string, commit_sha string")
     assert {r["repo"]: r["why"] for r in incremental.needs_survey(now, state).collect()} == {"r2": "failed", "r3": "changed", "r4": "never surveyed"}

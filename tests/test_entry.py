@@ -24,7 +24,7 @@ def duck():
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["coupling_pairs", "gap_scores", "extract_subgraph_nodes", "shortest_path_nodes", "budget_edges", "snapshot_changes", "mermaid_export", "build_graph"])
+@pytest.mark.parametrize("name", ["coupling_pairs", "gap_scores", "extract_subgraph_nodes", "shortest_path_nodes", "budget_edges", "snapshot_changes", "mermaid_export", "build_graph", "ownership_by_path", "build_edges"])
 def test_agrees_with_its_sql(spark, duck, name):
     from terrane.plans import catalogue
 

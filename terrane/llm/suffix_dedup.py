@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix sorting at minimiser positions.
+"""Repeated passages by sparse suffixes at minimiser positions.
 
 A text is a sequence of word hashes. Of all suffixes, those are kept that start
 at a minimiser: in every window of ``min_words`` words, the position whose next
@@ -6,8 +6,8 @@ at a minimiser: in every window of ``min_words`` words, the position whose next
 alone, so two equal windows keep the same suffix. About one suffix in eighteen
 stays.
 
-Kept suffixes are sorted by their heads (the sort is the shuffle's: equal heads
-meet as neighbours). A head that occurs once ends there. For the others the
+Kept suffixes meet by the hash of their heads; no order among heads is needed,
+so none is made. A head that occurs once ends there. For the others the
 match is extended left and right: first by the whole block of windows that
 share the suffix, which settles most of them at one comparison, then, where a
 head's blocks differ, window by window for one member of each distinct block.

@@ -11,13 +11,18 @@ candidates; the collision-corrected estimate drops those that five standard
 deviations cannot bring to the threshold; the rest is confirmed on full sets.
 
 Candidates of a band bucket are tested against one hub of the bucket, not
-against each other; links contract into components; buckets that still span
-several components go on with further hubs, those of the smaller components
-first and eight times as many a round, until each pair of a bucket is tested or
-joined: the rounds grow with the logarithm of the largest bucket of unlike
-texts. So a bucket with most rows of the table costs a linear join if its rows
-are copies, and no pair is given up. A round's components are found among the
-components that its links join, not among all links so far.
+against each other; links contract into components. Members of buckets that
+still span several components, such as texts around one licence, meet once more
+by their rarest shingles: in an order of all shingles of these members, rarest
+first, all that two sets have in common lies from their least common shingle on.
+So a pair at the threshold meets under a shingle from which on both still hold
+the overlap that their sizes ask for, and only such pairs are tested. What many
+unlike texts share comes last in that order; unless it is nearly enough for the
+threshold by itself, pairs of them are ruled out, while no pair at the threshold
+is given up. Under each shingle hubs are tested, those of the smaller components
+first and eight times as many a round, until each pair is tested or joined. A
+round's components are found among the components that its links join, not among
+all links so far.
 
 For confirmation a hub's text is sent once for each ``CHUNK`` texts that it
 meets, ahead of them in one sorted stream, so a hub of many texts is spread
@@ -201,6 +206,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return hubs.union(met).repartition(*key).sortWithinPartitions(*key, "turn").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _rarest(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, id, n, spare): shingles of each text of ``docs(id, text)``, rarest
+    first, as far as a set at the threshold may first be met; ``spare`` counts
+    those from this one on. Shingles of one text only are left out."""
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches):
+        for batch in batches:
+            for s in slices(batch.column(1)):
+                sets = shingle_sets(s)
+                size = np.array([len(x) for x in sets])
+                f = np.array([x.sum(dtype=U64) for x in sets], U64).view(np.int64)
+                x = np.concatenate(sets).view(np.int64)
+                row = np.repeat(np.arange(len(sets)), size)
+                for k in range(0, len(x), 100_000):
+                    part = row[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part + s.rows.start)), pa.array(size[part]), pa.array(f[part]), pa.array(x[k : k + 100_000])], names=["id", "n", "f", "key"])
+
+    sets = scratch.keep(docs.mapInArrow(run, f"id {kind}, n bigint, f bigint, key bigint"), "sets")
+    met = sets.join(sets.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "key")
+    own = W.partitionBy("id", "n", "f")
+    ranked = met.withColumn("spare", F.count("*").over(own) + 1 - F.row_number().over(own.orderBy("df", "key")))
+    return ranked.where(100 * F.col("spare") >= percent * F.col("n")).select("key", "id", "n", "spare")
+
+
 def link(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -225,14 +255,18 @@ def link(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: s
     comp = scratch.keep(components(first, scratch).select("node", "component"), "components")
     named_comp = comp.select(F.col("node").alias("id"), "component")
     met = member.join(hubs, "key", "left_semi").join(named_comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = scratch.keep(_spanning(met, hubs), "open")
+    shared = scratch.keep(_spanning(met, hubs).select("id", "comp").distinct(), "shared")
+    rare = _rarest(only_ids(text_of, "id", shared.select("id")).dropDuplicates().join(shared.select("id"), "id").select("id", "text"), percent, scratch)
+    open_ = scratch.keep(_spanning(scratch.keep(rare, "rarest").join(shared, "id")), "open")
     width = HUBS
     while open_.take(1):
         # members of buckets that span components, the smaller components first
         sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("size"))
         ranked = open_.join(sizes, ["key", "comp"]).withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("size", "id")))
-        hubs = scratch.keep(ranked.where(F.col("rank") <= width).select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp")), "hubs")
-        pairs = open_.join(hubs, "key").where("comp <> hub_comp").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+        hubs = scratch.keep(ranked.where(F.col("rank") <= width).select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("spare").alias("hub_spare")), "hubs")
+        # what both hold from here on may be the overlap that the threshold asks for
+        may = F.expr(f"comp <> hub_comp and {100 + percent} * least(spare, hub_spare) >= {percent} * (n + hub_n)")
+        pairs = open_.join(hubs, "key").where(may).select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         found = tested(pairs)
         of = open_.select("id", "comp").distinct()
         ends = found.join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
@@ -240,7 +274,7 @@ def link(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: s
         # components that no link has reached before are their own single nodes
         after = comp.withColumnRenamed("component", "was").join(moved.withColumnRenamed("node", "was"), "was", "left").select("node", F.coalesce("component", "was").alias("component"))
         after = scratch.keep(after.union(moved.join(comp.select("node"), "node", "left_anti")), "components")
-        now = open_.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("key", "id", F.coalesce("component", "comp").alias("comp"))
+        now = open_.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("key", "id", "n", "spare", F.coalesce("component", "comp").alias("comp"))
         left = scratch.keep(_spanning(now, hubs), "open")
         scratch.drop(open_, hubs, comp, found, moved)
         open_, comp, width = left, after, MORE * width
@@ -264,8 +298,8 @@ def dedup(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col:
     return parts[0].select(*names).union(parts[1].select(*names)).union(parts[2].select(*names))
 
 
-def _spanning(member: DataFrame, tested: DataFrame) -> DataFrame:
+def _spanning(member: DataFrame, tested: DataFrame | None = None) -> DataFrame:
     """Members that are no tested hubs, in buckets where they span components."""
-    rest = member.join(tested.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+    rest = member if tested is None else member.join(tested.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
     wide = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     return rest.join(wide, "key", "left_semi")

@@ -87,6 +87,23 @@ def test_minhash_variants_and_hot_buckets(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.link(docs).collect()} == root
 
 
+def test_texts_around_a_licence_do_not_all_meet(spark, monkeypatch):
+    """Most pairs share a band here and none of them links; copies with a changed word do."""
+    base = prose("licence", 80)
+    texts = {k: f"{base} {prose(k, 40 + k % 9)}" for k in range(150)}
+    for k in range(150, 180):
+        w = texts[k - 150].split()
+        w[k % 70] = "changed"
+        texts[k] = " ".join(w)
+    asked = []
+    likely = minhash._likely
+    monkeypatch.setattr(minhash, "_likely", lambda pairs, *more: asked.append(pairs.count()) or likely(pairs, *more))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    root, _ = linked(texts)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.link(docs).collect()} == root
+    assert sum(asked) < 10 * len(texts), asked
+
+
 def test_estimate():
     r = np.random.default_rng(0)
     a = r.integers(0, 2**63, 800).astype(np.uint64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import minhash, packing, suffix_dedup, toxicity
-from terrane.llm.common import Scratch, crc_of_id, table
+from terrane.llm.common import Scratch, crc_of_id, give_back, table
 from terrane.llm.queries import vocabulary
 from terrane.session import share_code
 
@@ -24,6 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels outside the held-out fifth."""
     share_code(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
+    give_back()
     return toxicity.clean(docs, model)
 
 

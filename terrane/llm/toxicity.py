@@ -300,9 +300,10 @@ class Model:
                 out.append((float(score), [index.example[c] for c in classes[:3].tolist()]))
         return out
 
-    def calibrate(self, raw: np.ndarray) -> None:
-        """Isotonic map from leave-one-out raw scores to rates, pool-adjacent-violators."""
-        index = self.shared.value[1]
+    def calibrate(self, index: Index, raw: np.ndarray) -> None:
+        """Isotonic map from leave-one-out raw scores to rates, pool-adjacent-violators.
+        The index is handed in: ``shared.value`` would load a second copy into the
+        driver, which stays there as long as a frame of the model does."""
         order = np.argsort(raw, kind="stable")
         least = min(20.0, max(1.0, index.total.sum() / 20))
         groups: list[list[float]] = []  # positives, total, sum of raw
@@ -443,7 +444,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     raw = np.zeros(len(ordered))
     for r in examples.select("text").mapInArrow(left_out, "c bigint, raw double").collect():
         raw[r["c"]] = r["raw"]
-    model.calibrate(raw)
+    model.calibrate(index, raw)
     scratch.drop()
     return model
 

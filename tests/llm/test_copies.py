@@ -294,6 +294,12 @@ def test_toxicity(spark, docs, empty):
         assert len({r["score"] for r in toxicity.score(docs, flat).collect()}) == 1
 
 
+def test_driver_keeps_no_copy_of_the_model(spark):
+    mine, labels = labelled(spark, 160)
+    model = toxicity.fit(mine, labels, F.col("doc_id") % 5 != 0)
+    assert model.knots is not None and not hasattr(model.shared, "_value")
+
+
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(2)
     idf = 1 + r.random(40)

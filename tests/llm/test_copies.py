@@ -204,18 +204,38 @@ def test_neighbours(spark):
     assert hits >= 0.95 * 10 * len(by)
 
 
-def test_graph_settles(spark):
-    m = np.random.default_rng(8).normal(size=(5000, 48))
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
-    scratch = Scratch(spark, "t")
-    nodes, count, dim = ann.vectors(df, scratch)
-    graph = {r["u"]: r["ws"] for r in ann.build(nodes, count, dim, scratch).collect()}
-    hits = 0
-    for q in range(0, 5000, 50):
-        d = ((m - m[q]) ** 2).sum(axis=1)
-        d[q] = np.inf
-        hits += len(set(np.argsort(d)[:32].tolist()) & set(graph[q]))
-    assert hits >= 0.97 * 32 * 100, hits
+def test_probes_follow_measured_recall(spark):
+    """Vectors without any order, and tight groups, of which few cells are probed."""
+    r = np.random.default_rng(8)
+    groups = np.repeat(r.normal(size=(50, 48)), 60, axis=0) + r.normal(size=(3000, 48)) * 0.05
+    for m, k in ((r.normal(size=(5000, 48)), 32), (groups, 10)):
+        df = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(m)], "vec_id long, embedding array<double>")
+        by = {}
+        for x in ann.nearest(df, F.col("vec_id") % 50 == 0, k=k).collect():
+            by.setdefault(x["query_id"], set()).add(x["vec_id"])
+        assert set(by) == set(range(0, len(m), 50)) and all(len(x) == k for x in by.values())
+        hits = 0
+        for q in by:
+            d = ((m - m[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(set(np.argsort(d)[:k].tolist()) & by[q])
+        assert hits >= 0.97 * k * len(by), hits
+    classes = df.select(F.col("vec_id").alias("rep"), F.array("vec_id").alias("ids"), F.col("embedding").alias("v"))
+    c = ann.kmeans(groups.astype(np.float32), 100)
+    placed = ann._placed(classes, spark.sparkContext.broadcast((c, None, None)))
+    assert ann._probes(placed, groups[::50].astype(np.float32), c, 11) < len(c) / 4
+
+
+def test_neighbours_among_copies(spark):
+    """Many copies of a vector, more than a block of rows holds, are one class."""
+    r = np.random.default_rng(9)
+    df = spark.createDataFrame([(j, [1.0, 2.0] if j < 3000 else r.normal(size=2).tolist()) for j in range(3200)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()
+    assert len(got) == 3 * 160
+    by = {}
+    for x in got:
+        by.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    assert all(sorted(by[q]) == [(j + 1, v, 0.0) for j, v in enumerate([v for v in range(4) if v != q][:3])] for q in by if q < 3000)
 
 
 def test_neighbours_of_few(spark):

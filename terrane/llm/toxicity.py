@@ -11,7 +11,8 @@ that many examples have are a dense matrix, and what they add is a matrix
 product; for each other word and block of class numbers the greatest weight is
 known. A batch of queries bounds each block by these, scores the blocks of the
 highest bounds, then every block whose bound reaches the score at which
-``neighbours`` examples are found, and settles what is left in double
+``neighbours`` examples are found (where most blocks do, a word's postings in
+one piece instead of block by block), and settles what is left in double
 precision: the exact nearest examples, ties included. Votes weighted by
 distance give a raw score, which an isotonic map fitted leave-one-out on the
 examples calibrates; the nearest examples' ids come along as evidence.
@@ -52,8 +53,9 @@ SIGN = 40.0
 ALIKE = 0.8
 #: Words in the dense matrix at most; it takes 4 bytes for each and class.
 DENSE = 1024
-#: Texts scored together, blocks scored first, and document frequencies summed as one value.
-BATCH, FIRST, CHUNK = 128, 2, 4096
+#: Texts bounded together, texts whose postings are added together (few enough for
+#: a core's cache), blocks scored first, and document frequencies summed as one value.
+BATCH, ADDED, FIRST, CHUNK = 128, 8, 2, 4096
 #: What single precision may be off by, with room to spare.
 SLACK = 1e-4
 
@@ -179,10 +181,6 @@ class Index:
         owner, term = self.postings[0].astype(np.int32), np.repeat(np.arange(len(self.idf), dtype=np.int32), self.held)
         weight = self.idf[term] * self.levels[self.postings[1]]
         weight = weight / np.sqrt(np.bincount(owner, weights=weight**2, minlength=self.n))[owner]
-        order = np.argsort(owner, kind="stable")
-        #: the vectors themselves: terms and weights of each class
-        self.vector = np.append(0, np.cumsum(np.bincount(owner, minlength=self.n)))
-        self.terms, self.weights = term[order], weight[order]
         often = np.argsort(-self.held, kind="stable")[:DENSE]
         often = np.sort(often[self.held[often] > max(BLOCK, self.n // 32)])
         #: row of the dense matrix, or -1
@@ -191,6 +189,10 @@ class Index:
         dense = self.place[term] >= 0
         matrix = np.zeros((len(often), self.n), np.float32)
         matrix[self.place[term[dense]], owner[dense]] = weight[dense]
+        #: the matrix again, in double precision: rows and weights of each class
+        order = np.flatnonzero(dense)[np.argsort(owner[dense], kind="stable")]
+        self.vector = np.append(0, np.cumsum(np.bincount(owner[dense], minlength=self.n)))
+        self.rows, self.weights = self.place[term[order]], weight[order]
         self.owner, self.weight, term = owner[~dense], weight[~dense], term[~dense]
         #: cells: the postings of one term and block
         cell = term.astype(np.int64) * max(self.blocks, 1) + self.owner // BLOCK
@@ -199,13 +201,24 @@ class Index:
         self.first = np.append(first, len(cell))
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.cells = np.searchsorted(term[first], np.arange(len(self.idf) + 1))
-        self.scratch = np.zeros(len(self.idf))
+        self.scratch = np.zeros(len(often))
         self._matrix = matrix
 
     def unit(self, terms: np.ndarray, tf: np.ndarray | None = None) -> np.ndarray:
         q = self.idf[terms] if tf is None else self.idf[terms] * tf
         return q / np.sqrt((q**2).sum())
 
+    def _sums(self, start: np.ndarray, end: np.ndarray, base: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+        """``size`` sums: ``value`` x weight of the postings ``start`` to ``end`` go
+        to the places ``base`` + their class."""
+        held = end - start
+        p = _ranges(start, held)
+        to = np.repeat(base, held)
+        to += self.owner[p]
+        add = np.repeat(value, held)
+        add *= self.weight[p]
+        return np.bincount(to, weights=add, minlength=size)
+
     def nearest(self, terms: np.ndarray, k: int, without: int = -1, tf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.nearest_of([(terms, tf)], k, [without])[0]
 
@@ -216,7 +229,8 @@ class Index:
         self.prepare()
         many = len(queries)
         units = [self.unit(t, tf) for t, tf in queries]
-        own = np.repeat(np.arange(many), [len(t) for t, _ in queries])
+        sizes = np.array([len(t) for t, _ in queries])
+        own, to = np.repeat(np.arange(many), sizes), np.append(0, np.cumsum(sizes))
         term, value = np.concatenate([t for t, _ in queries]), np.concatenate(units)
         place = self.place[term]
         in_dense = place >= 0
@@ -226,45 +240,58 @@ class Index:
         bound = np.maximum.reduceat(score, np.arange(0, self.n, BLOCK), axis=1).astype(np.float64)
         own, term, value = own[~in_dense], term[~in_dense], value[~in_dense]
         size = self.cells[term + 1] - self.cells[term]
-        cell, own, value = _ranges(self.cells[term], size), np.repeat(own, size), np.repeat(value, size)
-        at = own * self.blocks + self.block[cell]
-        bound = bound.ravel() + np.bincount(at, weights=value * self.top[cell], minlength=many * self.blocks)
+        cell, by = _ranges(self.cells[term], size), np.repeat(np.arange(len(term)), size)
+        of, share = own[by], value[by]
+        at = of * self.blocks + self.block[cell]
+        bound = bound.ravel() + np.bincount(at, weights=share * self.top[cell], minlength=many * self.blocks)
         bound = bound.reshape(many, self.blocks)
-        seen = np.zeros((many, self.blocks), bool)
-
-        def visit(now: np.ndarray) -> None:
-            """Add the postings of the blocks marked in ``now`` to their classes' scores."""
-            s = np.flatnonzero(now.ravel()[at])
-            c = cell[s]
-            held = self.first[c + 1] - self.first[c]
-            p = _ranges(self.first[c], held)
-            added = np.bincount(np.repeat(own[s] * self.n, held) + self.owner[p], weights=np.repeat(value[s], held) * self.weight[p], minlength=many * self.n)
-            np.add(score, added.reshape(many, self.n), out=score, casting="same_kind")
-            np.logical_or(seen, now, out=seen)
 
         # the blocks of the highest bounds; the class k + 1 from the top there:
         # as many hold k examples besides the one that doesn't count
-        best = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
-        first = np.zeros_like(seen)
-        np.put_along_axis(first, best, True, axis=1)
-        visit(first)
+        first = min(FIRST, self.blocks)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        turn = np.full(bound.shape, -1)
+        np.put_along_axis(turn, best, np.arange(first)[None, :], axis=1)
+        turn = turn.ravel()[at]
+        s = np.flatnonzero(turn >= 0)
+        slot = (of[s] * first + turn[s]) * BLOCK - self.block[cell[s]] * BLOCK
+        shown = self._sums(self.first[cell[s]], self.first[cell[s] + 1], slot, share[s], many * first * BLOCK).reshape(many, -1)
         inside = (best[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(many, -1)
-        shown = np.where(inside < self.n, np.take_along_axis(score, np.minimum(inside, self.n - 1), 1), 0)
+        shown += np.where(inside < self.n, np.take_along_axis(score, np.minimum(inside, self.n - 1), 1), 0)
         floor = np.partition(shown, -k - 1, axis=1)[:, -k - 1] if shown.shape[1] > k else np.zeros(many)
-        visit((bound > 0) & (bound >= floor[:, None] - SLACK) & ~seen)
-        score[np.repeat(~seen, BLOCK, axis=1)[:, : self.n]] = 0
+
+        # every block whose bound reaches that; where most do, all blocks at once
+        now = (bound > 0) & (bound >= floor[:, None] - SLACK)
+        wide = 2 * now.sum(axis=1) > self.blocks
+        now[wide] = False
+        s, w = np.flatnonzero(now.ravel()[at]), np.flatnonzero(wide[own])
+        start = np.concatenate([self.first[self.cells[term[w]]], self.first[cell[s]]])
+        end = np.concatenate([self.first[self.cells[term[w] + 1]], self.first[cell[s] + 1]])
+        own, value = np.concatenate([own[w], of[s]]), np.concatenate([value[w], share[s]])
+        if len(w) and len(s):
+            order = np.argsort(own, kind="stable")
+            start, end, own, value = start[order], end[order], own[order], value[order]
+        edges = np.searchsorted(own, np.arange(0, many + ADDED, ADDED))
         out = []
-        for i, (terms, _) in enumerate(queries):
-            here = np.flatnonzero((score[i] > 0) & (score[i] >= floor[i] - SLACK))
+        for i in range(many):
+            if i % ADDED == 0:
+                part, wave = slice(*edges[i // ADDED : i // ADDED + 2]), min(ADDED, many - i)
+                rest = self._sums(start[part], end[part], (own[part] - i) * self.n, value[part], wave * self.n).reshape(wave, self.n)
+            other = rest[i % ADDED]
+            # a block that was left out has what the matrix adds, which its bound covers
+            held = score[i] + other
+            here = np.flatnonzero(held >= floor[i] - SLACK if floor[i] > SLACK else held > 0)
             if len(here) > k + 1:
-                held = score[i][here]
+                held = held[here]
                 here = here[held >= np.partition(held, -k - 1)[-k - 1] - SLACK]
-            # in double precision, over the vectors of the classes that are left
-            self.scratch[terms] = units[i]
+            # what the matrix adds in double precision, for the classes that are left
+            spots, dense = place[to[i] : to[i + 1]], in_dense[to[i] : to[i + 1]]
+            spots = spots[dense]
+            self.scratch[spots] = units[i][dense]
             held = self.vector[here + 1] - self.vector[here]
             p = _ranges(self.vector[here], held)
-            exact = np.bincount(np.repeat(np.arange(len(here)), held), weights=self.scratch[self.terms[p]] * self.weights[p], minlength=len(here))
-            self.scratch[terms] = 0
+            exact = other[here] + np.bincount(np.repeat(np.arange(len(here)), held), weights=self.scratch[self.rows[p]] * self.weights[p], minlength=len(here))
+            self.scratch[spots] = 0
             cosine = np.round(exact, 9)
             rank = np.lexsort((here, -cosine))
             rank = rank[cosine[rank] > 0]

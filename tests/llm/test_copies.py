@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -371,6 +372,38 @@ def test_nearest_examples_are_exact_by_counts():
         assert np.allclose(cosine[cosine < 1 - 1e-8], np.sort(want)[::-1][1:26], atol=2e-9) and k in classes
 
 
+def test_batches_are_exact_and_their_postings_few_at_a_time():
+    """Texts that reach most blocks and texts that reach few, in one batch."""
+    r = np.random.default_rng(6)
+    idf = 1 + r.random(3000)
+    chance = 1 / np.arange(20, 3020) ** 1.5
+    vecs = [np.sort(r.choice(3000, 60, replace=False, p=chance / chance.sum())) for _ in range(4000)]
+    index = toxicity.Index(vecs, np.zeros(4000), np.ones(4000), idf, list(range(4000)))
+    index.prepare()
+    full = np.zeros((4000, 3000))
+    for k, v in enumerate(vecs):
+        full[k, v] = idf[v]
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    few = np.flatnonzero((index.held > 0) & (index.held < 8))
+    assert len(few) > 1 and 0 < (index.place >= 0).sum() < 3000
+    queries = [(few[k % len(few)] + np.zeros(1, int) if k % 5 == 0 else np.sort(r.choice(3000, 400, replace=False)), None) for k in range(toxicity.BATCH)]
+    index.nearest_of(queries, 25)
+    tracemalloc.start()
+    got = index.nearest_of(queries, 25)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for (terms, _), (classes, cosine, _) in zip(queries, got):
+        want = np.round(full[:, terms] @ index.unit(terms), 9)
+        order = np.lexsort((np.arange(4000), -want))
+        order = order[want[order] > 0]
+        reach = order[: np.count_nonzero(want[order] >= want[order[min(25, len(order) - 1)]] - 2e-9)]
+        assert set(order[:25].tolist()) <= set(classes.tolist()) <= set(reach.tolist())
+        assert np.allclose(cosine, want[classes], atol=2e-9)
+    # bytes for the scores, the cells of the bounds and a few texts' postings at a time (26 a posting; 50 with the batch's)
+    postings = sum(int(index.held[t[index.place[t] < 0]].sum()) for t, _ in queries)
+    assert most < 36 * postings, (most, postings)
+
+
 def test_near_copies_of_examples_count_once():
     r = np.random.default_rng(5)
     sets, counts, group = [], [], []

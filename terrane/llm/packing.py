@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, TokenCache, pretokens, row_bounds, slices
+from .bpe import _byte_letters
+from .common import KEPT, Scratch, TokenCache, pretokens, row_bounds, slices
 
 PIECES_PER_PACKER = 1_000_000
 OPEN_BINS = 1024
@@ -90,11 +91,15 @@ class FoldingTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in _byte_letters().items()}
         self.cache = TokenCache(self._pieces)
 
     def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        made = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [e.ids for e in made]
+        """Pieces are folded and split already, so the library's model takes them
+        as they are, by the letters of their bytes."""
+        merge, letters = self.model.tokenize, self.letters
+        return [[t.id for t in merge(p.decode("latin-1").translate(letters))] for p in pieces]
 
     def encode_slice(self, s) -> tuple[np.ndarray, np.ndarray]:
         data, starts, ends, row, odd = pretokens(s, b"<|", fold=True)
@@ -114,6 +119,9 @@ def load(path: str) -> FoldingTokens:
     return FoldingTokens(path)
 
 
+KEPT.append(load.cache_clear)
+
+
 def pieces(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked, ids."""
     kind = dict(docs.dtypes)[id_col]

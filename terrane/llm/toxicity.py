@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTERS, U64, Scratch, drawn, slices, words
+from .common import NOT_LETTERS, U64, Scratch, drawn, forget, reusing, slices, words
 from .minhash import BAND, registers
 
 MAX_EXAMPLES = 8192
@@ -378,6 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     examples = scratch.keep(examples.select("id", "text", "y").dropDuplicates(["id"]), "examples")
 
     def vectors(batches):
+        forget()
         for batch in batches:
             for s in slices(batch.column(1)):
                 r, f, n = features(s)
@@ -421,6 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_exa
     chunks, scanned = -(-len(known) // CHUNK), spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
+        forget()
         words_ = scanned.value
         df, seen = np.zeros(chunks * CHUNK, np.int64), 0
         for batch in batches:
@@ -482,14 +484,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = f"id {kind}, score double, predicted int, evidence array<{kind}>"
 
     def run(batches):
-        for batch in batches:
-            for s in slices(batch.column(1)):
-                found = model.score(s)
-                value = np.array([x for x, _ in found])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.rows.start, len(s.rows)), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array([e for _, e in found], pa.list_(batch.column(0).type))],
-                    names=["id", "score", "predicted", "evidence"],
-                )
+        forget()
+        with reusing():
+            for batch in batches:
+                for s in slices(batch.column(1)):
+                    found = model.score(s)
+                    value = np.array([x for x, _ in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(s.rows.start, len(s.rows)), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)), pa.array([e for _, e in found], pa.list_(batch.column(0).type))],
+                        names=["id", "score", "predicted", "evidence"],
+                    )
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -500,10 +504,12 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for s in slices(batch.column(at)):
-                keep += [value < 0.5 for value, _ in model.score(s)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        forget()
+        with reusing():
+            for batch in batches:
+                keep = []
+                for s in slices(batch.column(at)):
+                    keep += [value < 0.5 for value, _ in model.score(s)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

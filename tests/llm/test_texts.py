@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from terrane.llm import bpe, lm, packing, sharding, warc
-from terrane.llm.common import Scratch, slices
+from terrane.llm.common import Scratch, forget, slices
 from terrane.llm.queries import vocabulary
 
 from .conftest import prose, rows
@@ -48,6 +48,28 @@ def test_splitting_is_the_librarys(texts):
         assert out == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_split_pieces_go_to_the_model_alone():
+    """Every character of the quick way, alone and in words, without the library's own splitting."""
+    texts = [f"{chr(c)} {chr(c)}{chr(c)} ab{chr(c)}Ré{chr(c)}'s 7{chr(c)}" for c in range(1, 0x250)] + [prose(31, 500), "é" * 5000]
+    tok, own, done = library(WORDS), packing.FoldingTokens(WORDS), 0
+    own.tokenizer = None
+    for s in slices(pa.array(texts)):
+        odd = packing.pretokens(s, b"<|", fold=True)[-1]
+        quick = [t for t, x in zip(texts[s.rows.start : s.rows.stop], odd) if not x]
+        done += len(quick)
+        for part in slices(pa.array(quick)):
+            ids, bounds = own.encode_slice(part)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in quick]
+    assert done > 500
+
+
+def test_tokens_make_room_for_the_next_operator():
+    own = packing.load(WORDS)
+    assert packing.load(WORDS) is own
+    forget()
+    assert packing.load.cache_info().currsize == 0 and packing.load(WORDS) is not own
+
+
 def test_bpe(docs, empty):
     tok = library(BYTES)
     got = bpe.digests(docs, BYTES).collect()

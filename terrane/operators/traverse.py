@@ -46,18 +46,19 @@ def within(g: Graph, start: str, k: int) -> DataFrame:
     return seen
 
 
-def find_path(g: Graph, start: str, goal: str) -> DataFrame:
-    """(path, distance): a shortest directed path, the least by ids among equals
-    (D7); no row if there is none. A node keeps one path: the least that is shortest."""
+def find_path(g: Graph, start: str, goal: str | None) -> DataFrame:
+    """(path, distance): a shortest directed path, the least by its ids as one text,
+    parted by ``>``, among equals (D7); no row if there is none, nor without a goal.
+    A node keeps one path: the least that is shortest."""
     edges = g.edges.select("src", "dst").distinct()
     front = settle(g.nodes.where(F.col("id") == start).select("id", F.array("id").alias("path")))
-    found = front.where(F.col("id") == goal)
+    found = front.where(F.col("id") == F.lit(goal))
     seen = front.select("id")
     while not found.take(1) and front.take(1):  # each level has new nodes, so this ends
         step = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = settle(step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti"))
+        front = settle(step.groupBy("id").agg(F.min_by("path", F.array_join("path", ">")).alias("path")).join(seen, "id", "left_anti"))
         seen = settle(seen.union(front.select("id")))
-        found = front.where(F.col("id") == goal)
+        found = front.where(F.col("id") == F.lit(goal))
     return found.select("path", (F.size("path") - 1).alias("distance"))
 
 

@@ -7,6 +7,12 @@ from terrane.schema import Graph
 from .graphs import A, B, C, abc, graph
 
 
+def test_path_ties_are_settled_by_the_joined_ids(spark):
+    a, a1 = "service:ns:a", "service:ns:a1"
+    g = graph(spark, [(x, x) for x in (A, a, a1, C)], [(A, a, "CALLS"), (A, a1, "CALLS"), (a, C, "CALLS"), (a1, C, "CALLS")])
+    assert traverse.find_path(g, A, C).first()["path"] == [A, a1, C]  # as "a1" is less than "a>"
+
+
 def test_no_path_without_a_goal(spark):
     start = catalogue.START
     lone = graph(spark, [(start, "one"), (B, "b")], [(B, start, "CALLS")])

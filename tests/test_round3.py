@@ -1,5 +1,9 @@
 """Ties and empty answers as the SQL has them; steps that stay bounded on large tables."""
 
+import pyarrow as pa
+import pytest
+
+from terrane.functions import parsers
 from terrane.operators import traverse
 from terrane.plans import catalogue
 from terrane.schema import Graph
@@ -21,3 +25,16 @@ def test_no_path_without_a_goal(spark):
     met = graph(spark, [(start, "one"), (B, "b")], [(start, B, "CALLS"), (B, start, "CALLS")])
     assert traverse.find_path(*catalogue._path_args(met)).first()["path"] == [start, B]
     assert traverse.find_path(Graph(abc(spark).nodes, abc(spark).edges), A, None).count() == 0
+
+
+@pytest.mark.parametrize("path,line", [("app.py", "client.get_item(TableName='t%d')"), ("a.js", "client.send(new GetItemCommand({ TableName: 't%d' }))")])
+def test_discoveries_go_back_in_bounded_batches(path, line):
+    text = "\n".join(line % k for k in range(3000))
+    files = pa.RecordBatch.from_pydict({"repo_index": [1, 2, 3, 4], "repo": ["a", "b", "c", None], "path": [path] * 3 + [None], "content": [text, text, text, None]})
+    arrow = pa.schema([("repo", pa.string()), ("name", pa.string()), ("source_line", pa.int32()), ("__repo_index", pa.int64()), ("__position", pa.int32())])
+    sizes, rows = [], []
+    for b in parsers._found(iter([files, files]), ("python", "javascript"), arrow):
+        sizes.append(b.num_rows)
+        rows += b.to_pylist()
+    assert len(rows) == 18000 and max(sizes) <= parsers.FOUND_ROWS
+    assert {(r["repo"], r["name"], r["source_line"], r["__position"]) for r in rows} == {(x, f"t{k}", k + 1, k) for x in "abc" for k in range(3000)}

@@ -14,6 +14,10 @@ from .coupling import checked, upsert_edges
 _RESOURCE = {"database_access": ("database", "db_type"), "queue_operation": ("queue", "queue_type"), "cloud_resource": ("cloud_resource", "resource_type")}
 
 
+#: What nodes keep of the discovery that makes them.
+_KEPT = ("ordinal", "repo", "name", "sub_type", "language", "framework", "entry_point", "source_file", "source_line", "deployment")
+
+
 def _segment(c: Column) -> Column:
     """A name fit for an id: colons would break it, so they become dashes (G14)."""
     return F.substring(F.replace(c, F.lit(":"), F.lit("-")), 1, 256)
@@ -28,7 +32,7 @@ def _attributes(**cols: Column) -> Column:
 def services(discoveries: DataFrame) -> DataFrame:
     """Service nodes: one per name over all repos, the first wins (UPS1, UPS2)."""
     d = discoveries.where("kind = 'service' and name is not null")
-    per = d.groupBy("name").agg(F.min_by(F.struct(*d.columns), "ordinal").alias("r"), F.max("ordinal").alias("last"))
+    per = d.groupBy("name").agg(F.min_by(F.struct(*_KEPT), "ordinal").alias("r"))
     r = F.col("r")
     ns = F.coalesce(r["repo"], F.lit("unknown"))
     attributes = _attributes(
@@ -43,7 +47,7 @@ def resources(discoveries: DataFrame) -> DataFrame:
     (D5); what has no name is ``<sub type>-unknown`` (UPS5-UPS8)."""
     d = discoveries.where(F.col("kind").isin(*_RESOURCE))
     named = d.withColumn("node_type", S.lookup("kind", {k: v[0] for k, v in _RESOURCE.items()})).withColumn("resource", resource_name())
-    per = named.groupBy("node_type", "resource").agg(F.min_by(F.struct(*named.columns), "ordinal").alias("r"))
+    per = named.groupBy("node_type", "resource").agg(F.min_by(F.struct(*_KEPT), "ordinal").alias("r"))
     r = F.col("r")
     sub = lambda t: F.when(F.col("node_type") == t, r["sub_type"])
     attributes = _attributes(db_type=sub("database"), queue_type=sub("queue"), resource_type=sub("cloud_resource"), table_name=F.when(F.col("node_type") == "database", r["name"]), environment=r["deployment"]["environment"], deployment_method=r["deployment"]["deployment_method"])

@@ -1,10 +1,12 @@
 """Ties and empty answers as the SQL has them; steps that stay bounded on large tables."""
 
+import random
+
 import pyarrow as pa
 import pytest
 
 from terrane.functions import parsers
-from terrane.operators import traverse
+from terrane.operators import coupling, traverse
 from terrane.plans import catalogue
 from terrane.schema import Graph
 
@@ -38,3 +40,32 @@ def test_discoveries_go_back_in_bounded_batches(path, line):
         rows += b.to_pylist()
     assert len(rows) == 18000 and max(sizes) <= parsers.FOUND_ROWS
     assert {(r["repo"], r["name"], r["source_line"], r["__position"]) for r in rows} == {(x, f"t{k}", k + 1, k) for x in "abc" for k in range(3000)}
+
+
+def _hubs(spark, seed):
+    """Services that share hubs and rarer resources, and their couplings by brute force."""
+    r = random.Random(seed)
+    svc, res = [f"service:ns:s{k}" for k in range(26)], [f"database:ns:r{k}" for k in range(12)]
+    touches = {(s, x, r.choice(["READS", "WRITES"]) if k > 1 else "READS") for k, x in enumerate(res) for s in svc if r.random() < (0.8 if k < 3 else 0.12)}
+    touches = {(s, x, t) for s, x, t in touches if s != svc[-1]}
+    pairs = {}
+    for s, x, t in touches:
+        for s2, x2, t2 in touches:
+            if x == x2 and s < s2:
+                pairs.setdefault((s, s2), []).append((1 + (t == "WRITES") + (t2 == "WRITES"), x))
+    want = [(*p, {3: "High", 2: "Medium", 1: "Low"}[max(v)[0]], sorted(x for _, x in v)) for p, v in pairs.items()]
+    return graph(spark, [(x, x) for x in svc + res], sorted(touches)), sorted(want, key=lambda w: (-max(pairs[w[:2]])[0], -len(w[3]), w[:2]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_couplings_and_the_riskiest_of_them(spark, monkeypatch, seed):
+    monkeypatch.setattr(coupling, "HUB", 8)
+    monkeypatch.setattr(coupling, "CLASS_BLOCK", 2)
+    monkeypatch.setattr(coupling, "TASK_PAIRS", 20)
+    g, want = _hubs(spark, seed)
+    access = coupling.access_map(g)
+    rows = lambda df: [(r["svc_a"], r["svc_b"], r["risk"], r["resources"]) for r in df.collect()]
+    assert sorted(rows(coupling.couplings(g, access))) == sorted(want)
+    monkeypatch.setattr(coupling, "couplings", None)  # the riskiest are found without writing all
+    for k in (1, 7, 60, 1000):
+        assert rows(coupling.riskiest(g, access, k)) == want[:k]

@@ -44,16 +44,18 @@ def naming_owners(g: Graph) -> DataFrame:
     """(res, owner): the first service whose name lies within the resource's name.
 
     A containment join would compare everything with everything. Instead each
-    resource name yields its substrings of the lengths that service names have,
-    and those meet the names in an equi-join."""
+    distinct resource name yields its substrings of the lengths that service names
+    have, and those meet the first service of each name in an equi-join."""
     service = g.nodes.where("node_type = 'service'").select(F.col("id").alias("owner"), "ordinal", F.col("display_name").alias("name")).where(F.length("name") > 0)
     # distinct lengths of names: a name has 256 bytes at most, so these are few numbers
     lengths = sorted(r["n"] for r in service.select(F.length("name").alias("n")).distinct().collect())
-    res = g.nodes.where(F.col("node_type").isin(*RESOURCES)).select(F.col("id").alias("res"), F.col("display_name").alias("text"), F.lit(lengths).cast("array<int>").alias("lengths"))
+    res = g.nodes.where(F.col("node_type").isin(*RESOURCES)).select(F.col("id").alias("res"), F.col("display_name").alias("text"))
+    first = service.groupBy("name").agg(F.min(F.struct("ordinal", "owner")).alias("first"))
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))
-    parts = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("text")), starts)))
-    met = res.select("res", F.explode(parts).alias("name")).join(service, "name")
-    return met.groupBy("res").agg(F.min_by("owner", F.struct("ordinal", "owner")).alias("owner"))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("text")), starts)))
+    texts = res.select("text").distinct()
+    named = texts.select("text", F.explode(parts).alias("name")).join(first, "name").groupBy("text").agg(F.min("first").alias("first"))
+    return res.join(named, "text").groupBy("res").agg(F.min("first").alias("first")).select("res", F.col("first.owner").alias("owner"))
 
 
 def terraform_owners(g: Graph) -> DataFrame:

@@ -84,3 +84,16 @@ def test_counts_after_apply_are_those_of_the_applied_graph(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(coupling, "couplings", None)  # no pairs are written
             assert counts(coupling.counts_after_apply(Graph(g.nodes, edges))) == all_
+
+
+def test_naming_looks_at_each_distinct_name_once(spark):
+    names = ["orders-db", "orders", "db", "odd", "", None]
+    services = [(f"service:ns:s{k}", x) for k, x in enumerate(["rders", "db", "db", "o", "zzz", "", None, "rders"])]
+    resources = [(f"database:ns:r{k}", names[k % 6]) for k in range(24)]
+    g = graph(spark, services + resources, [])
+    found = coupling.naming_owners(g)
+    first = lambda text: next((i for i, n in services if n and text and n in text), None)
+    assert {r["res"]: r["owner"] for r in found.collect()} == {i: o for i, n in resources if (o := first(n))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "Generate explode" in line)
+    assert any("Aggregate [text" in line for line in plan[at + 1 : at + 4]), plan
